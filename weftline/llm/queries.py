@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from weftline.llm.byte_bpe import op3_byte_bpe
 from weftline.llm.media import op10_media
+from weftline.llm.packing import op2_packing
 from weftline.llm.url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op10_media": op10_media}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_url_filter": op5_url_filter,
+    "op10_media": op10_media,
+}
 SQL = {"op5_url_filter": OP5_SQL}
