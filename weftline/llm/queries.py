@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.byte_bpe import op3_byte_bpe
+from weftline.llm.language_id import op6_language_id
 from weftline.llm.media import op10_media
 from weftline.llm.packing import op2_packing
 from weftline.llm.url_filter import OP5_SQL, op5_url_filter
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
     "op10_media": op10_media,
 }
 SQL = {"op5_url_filter": OP5_SQL}
