@@ -16,13 +16,14 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_rows, keyed
 
-STATES = 250_000  # kept transducer states and remembered units; more empty the store, results stay the same
+STATES = 150_000  # kept transducer states and remembered units; more empty the store, results stay the same
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -266,17 +267,21 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+SLICE = 200  # rows taken out of a batch at a time
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int> of each whole text."""
+    """doc_id, ids of each whole text; ids are little-endian unsigned 32-bit numbers in one binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, schema = encoder(ranks_path, pattern), pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        own, schema = encoder(ranks_path, pattern), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield arrow_rows(schema, [part.column(0), [own.encode(t) for t in part.column(1).to_pylist()]])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                coded = [np.array(own.encode(t), "<u4").tobytes() for t in part.column(1).to_pylist()]
+                yield arrow_rows(schema, [part.column(0), coded])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -285,11 +290,13 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(ranks_path, pattern).decoder.decode
         for batch in batches:
-            texts = pa.array([decode(ids or ()) for ids in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["doc_id", "ids", "text"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = pa.array([decode(np.frombuffer(ids or b"", "<u4").tolist()) for ids in part.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "text"])
 
-    source = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    source = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids"))
+    return source.mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -300,10 +307,12 @@ def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            ids = batch.column(1)
-            csv = [sha(",".join(map(str, x)).encode()) for x in ids.to_pylist()]
-            yield arrow_rows(schema, [batch.column(0), ids.value_lengths(), csv, [sha(t.encode()) for t in batch.column(2).to_pylist()]])
-
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [np.frombuffer(x, "<u4").tolist() for x in part.column(1).to_pylist()]
+                listed = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+                yield arrow_rows(schema, [part.column(0), list(map(len, ids)), listed, part.column(2)])
+
+    hashed = decoded.withColumn("text", F.sha2(F.col("text").cast("binary"), 256))
+    return hashed.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
