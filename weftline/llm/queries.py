@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.byte_bpe import op3_byte_bpe
+from weftline.llm.jaccard_join import op7_jaccard_join
 from weftline.llm.language_id import op6_language_id
 from weftline.llm.media import op10_media
 from weftline.llm.packing import op2_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_media": op10_media,
 }
 SQL = {"op5_url_filter": OP5_SQL}
