@@ -14,7 +14,9 @@ table; extra columns stay out of the way, the operator's own columns are named i
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,27 +33,51 @@ UNITS = 400_000  # remembered units a worker; more empty the store
 
 
 class UnitIds(dict):
-    """Token ids of what stands between spaces, as little-endian 32-bit bytes. No token crosses a space."""
+    """Token ids of what stands between spaces, as little-endian 32-bit bytes. No token crosses a space.
+
+    A new unit is split into the tokenizer's words, whose ids are remembered as well. That is done for Latin
+    letters only, where lower case and classes of characters are beyond doubt; other units go to the
+    tokenizer whole.
+    """
+
+    LAST = "\u024f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(split).findall
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in coded]
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self]
-        for unit, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[unit] = np.array(coded.ids, "<u4").tobytes()
+        latin = [u for u in new if u and max(u) <= self.LAST]
+        other = [u for u in new if not u or max(u) > self.LAST]
+        parts = [self.split(u.lower()) for u in latin]
+        if len(self.words) > UNITS:
+            self.words.clear()
+        words = self.words
+        unknown = list({w for p in parts for w in p if w not in words})
+        words.update(zip(unknown, self._whole(unknown), strict=True))
+        for unit, part in zip(latin, parts, strict=True):
+            self[unit] = words[part[0]] if len(part) == 1 else b"".join([words[w] for w in part])
+        self.update(zip(other, self._whole(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > UNITS:
             self.clear()
         split = [t.split(" ") for t in texts]
         self.learn(set().union(*split))
-        end = np.array([END_ID], "<u4").tobytes()
+        end = array("I", [END_ID]).tobytes()
         return [b"".join(map(self.__getitem__, units)) + end for units in split]
 
 
