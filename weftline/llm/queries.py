@@ -7,6 +7,7 @@ from weftline.llm.jaccard_join import op7_jaccard_join
 from weftline.llm.language_id import op6_language_id
 from weftline.llm.media import op10_media
 from weftline.llm.packing import op2_packing
+from weftline.llm.substring_dedup import op8_substring_dedup
 from weftline.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_media": op10_media,
 }
 SQL = {"op5_url_filter": OP5_SQL}
