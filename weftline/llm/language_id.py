@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 16
 PER_LABEL, SEGMENTS, SEGMENT_WORDS = 400, 8, 24
 WORDS = 300_000  # remembered words a worker
-CELLS = 400_000  # words of one padded block
+CELLS = 500_000  # words that are solved together
 
 
 def letters(word: str) -> str:
@@ -200,46 +200,80 @@ class Tagger:
         ids = np.fromiter([new(w) if (i := get(w)) is None else i for w in words], np.int64, len(words))
         return ids[ids >= 0]
 
-    def tag(self, texts: list[str]) -> list[np.ndarray]:
-        """Label probabilities of the words with letters of each text, (word, label)."""
-        if len(self.rows) > WORDS:
-            self.reset()
-        ids = [self._ids(t or "") for t in texts]
-        out = [np.empty((0, len(self.model.labels)))] * len(texts)
-        order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
-        at = 0
-        while at < len(order):
-            steps = len(ids[order[at]])
-            part = order[at : at + max(1, CELLS // steps)]
-            lengths = np.array([len(ids[i]) for i in part])
-            padded = np.zeros((steps, len(part)), np.int64)
-            for k, i in enumerate(part):
-                padded[: lengths[k], k] = ids[i]
-            likely = posteriors(self.table[padded], lengths, self.model.moves)
-            for k, i in enumerate(part):
-                out[i] = likely[: lengths[k], k]
-            at += len(part)
-        return out
-
-
-def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """As forward_backward, without the transitions, in the memory of two such arrays."""
-    steps = len(scores)
-    ahead = np.empty_like(scores)
-    ahead[0] = scores[0] / scores[0].sum(-1, keepdims=True)
-    live = np.searchsorted(-lengths, -np.arange(1, steps + 1), "right")  # longest first: those that have this word
-    for t in range(1, steps):
+    def tag(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Label probabilities of the words with letters of each text, (word, label), in order."""
+        held: list[np.ndarray] = []
+        for text in texts:
+            if len(self.rows) > WORDS:
+                yield from self._solve(held)
+                held = []
+                self.reset()
+            held.append(self._ids(text or ""))
+            if sum(map(len, held)) > CELLS:
+                yield from self._solve(held)
+                held = []
+        yield from self._solve(held)
+
+    def _solve(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        if not ids:
+            return []
+        likely = posteriors(self.table[np.concatenate(ids)], np.array(list(map(len, ids))), self.model.moves)
+        return np.split(likely, np.cumsum(list(map(len, ids)))[:-1])
+
+
+def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, stretch: int = 64) -> np.ndarray:
+    """Forward-backward over many sequences laid end to end, with short loops however long a sequence is.
+
+    Sequences are cut into stretches. The product of a stretch's steps is a small matrix; with these, the
+    messages that enter each stretch from either side follow, and then those inside all stretches at once.
+    """
+    labels = scores.shape[1]
+    if not len(scores):
+        return scores
+    parts = -(-lengths // stretch)
+    firsts = np.cumsum(parts) - parts
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(owner)) - firsts[owner]
+    start = (np.cumsum(lengths) - lengths)[owner] + number * stretch
+    size = np.minimum(lengths[owner] - number * stretch, stretch)
+    order = np.argsort(-size, kind="stable")  # longest stretches first: those with a t-th word are a prefix
+    live = np.searchsorted(-size[order], -np.arange(1, stretch + 1), "right")
+    begin, opens = start[order], number[order] == 0
+
+    def even(x: np.ndarray, axis: int | tuple[int, ...] = -1) -> np.ndarray:
+        return x / x.sum(axis, keepdims=True)
+
+    product = np.where(opens[:, None, None], 1.0, moves) * scores[begin][:, None, :]
+    for t in range(1, stretch):
         k = live[t]
-        now = (ahead[t - 1, :k] @ moves) * scores[t, :k]
-        ahead[t, :k] = now / now.sum(-1, keepdims=True)
-        ahead[t, k:] = 1
-    back = np.ones(scores.shape[1:])
-    for t in range(steps - 2, -1, -1):
-        k = live[t + 1]
-        now = (scores[t + 1, :k] * back[:k]) @ moves.T
-        back[:k] = now / now.sum(-1, keepdims=True)
-        ahead[t, :k] *= back[:k]
-    return ahead / ahead.sum(-1, keepdims=True)
+        if not k:
+            break
+        product[:k] = even((product[:k] @ moves) * scores[begin[:k] + t][:, None, :], (-1, -2))
+    whole = np.empty_like(product)
+    whole[order] = product
+    left, right = np.full((len(owner), labels), 1.0 / labels), np.full((len(owner), labels), 1.0 / labels)
+    last = firsts + parts - 1
+    for k in range(1, int(parts.max())):
+        at = (firsts + k)[parts > k]
+        left[at] = even((left[at - 1][:, None, :] @ whole[at - 1])[:, 0])
+        at = (last - k)[parts > k]
+        right[at] = even((whole[at + 1] @ right[at + 1][:, :, None])[:, :, 0])
+    out = np.empty_like(scores)
+    now = np.where(opens[:, None], 1.0, left[order] @ moves)
+    for t in range(stretch):
+        k = live[t]
+        if not k:
+            break
+        now = even((now[:k] if t == 0 else now[:k] @ moves) * scores[begin[:k] + t])
+        out[begin[:k] + t] = now
+    now = right[order]
+    for t in range(stretch - 1, -1, -1):
+        k = live[t]
+        if k:
+            at = begin[:k] + t
+            out[at] *= now[:k]
+            now[:k] = even((now[:k] * scores[at]) @ moves.T)
+    return even(out)
 
 
 def spans_of(likely: np.ndarray, labels: list[str]) -> list[dict]:
@@ -262,8 +296,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 names, scores, runs = [], [], []
                 for likely in tagger.tag(part.column(1).to_pylist()) if model.labels else [np.empty((0, 0))] * len(part):
                     mean = likely.mean(0) if len(likely) else None
