@@ -8,6 +8,7 @@ from weftline.llm.language_id import op6_language_id
 from weftline.llm.media import op10_media
 from weftline.llm.packing import op2_packing
 from weftline.llm.substring_dedup import op8_substring_dedup
+from weftline.llm.suffix_dedup import op9_suffix_dedup
 from weftline.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_media": op10_media,
 }
 SQL = {"op5_url_filter": OP5_SQL}
