@@ -163,29 +163,38 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS
-) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept: the words left, joined by one space."""
-    source = with_key(keyed(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))))
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS,
+    carry: str | None = None,
+) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: the words left, joined by one space; and the column `carry`, if named."""
+    more = [F.col(carry)] if carry else []
+    own = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more
+    )
+    source = with_key(own)
     spans = repeated_spans(source, window, bucket_strings).groupBy("row_key").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
-    joined = source.join(spans, "row_key", "left").select("doc_id", "text", "spans")
+    joined = source.join(spans, "row_key", "left").select("doc_id", "text", "spans", *more)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = []
-                for doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                rows, part = [], batch.slice(at, 500)
+                for doc_id, text, found in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
                     words = words_of(text)
                     n = len(words)
                     if found:
                         starts = np.array([x["start"] for x in found])
                         gone = covered(starts, np.array([x["windows"] for x in found]), window, n)
                         words = [words[i] for s, k in zip(*flag_runs(~gone), strict=True) for i in range(s, s + k)]
-                    rows.append((doc_id if doc_id != NULL_ID else None, text, n, n - len(words), b" ".join(words).decode()))
-                yield arrow_rows(schema, list(zip(*rows, strict=True)))
-
-    return joined.mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long, kept string")
+                    rows.append((doc_id if doc_id != NULL_ID else None, n, n - len(words), b" ".join(words).decode()))
+                said = arrow_rows(schema, list(zip(*rows, strict=True)))
+                yield pa.RecordBatch.from_arrays([*said.columns, *part.columns[3:]], names=[*schema.names, *([carry] if carry else [])])
+
+    kind = "doc_id long, n_words long, n_removed long, kept string"
+    if carry:
+        kind += f", `{carry}` {joined.schema[carry].dataType.simpleString()}"
+    return joined.mapInArrow(remove, kind)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
