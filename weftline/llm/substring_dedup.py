@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
                         each = np.arange(w["windows"])
                         place = where[np.searchsorted(where, each)] - each  # of the first minimiser in each window
                         for k, p in zip(each.tolist(), place.tolist(), strict=True):
-                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + b" ".join(packed[k : k + 8]))
+                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + b" ".join(packed[k : k + min(8, window)]))
                             rows.append((bucket, w["string"], b" ".join(packed[k : k + window]), w["first"], k, 1))
                 if rows:
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))

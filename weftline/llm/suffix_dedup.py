@@ -128,7 +128,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
                         each = np.arange(w["windows"])
                         place = where[np.searchsorted(where, each)] - each
                         for k, p in zip(each.tolist(), place.tolist(), strict=True):
-                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + packed[k : k + 32])
+                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + packed[k : k + min(32, window)])
                             rows.append((bucket, w["string"], packed[k : k + window], k, 1))
                 if rows:
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))
