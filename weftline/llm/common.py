@@ -60,21 +60,58 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied when it holds too many words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BASE = 0x9E6C63D0876A9A47
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+HASHED_BYTES = 500_000  # of text that is hashed together, if more than one
+
+
+def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; one table a base and worker."""
+    if len(kept.get(base, ())) < n:
+        table = np.full(n + n // 4, base, np.uint64)
+        table[0] = 1
+        kept[base] = np.multiply.accumulate(table)
+    return kept[base][:n]
+
+
+def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts laid end to end, and how many each text has; A-Z lower-cased if asked for.
+
+    A word's hash is a difference of prefix sums of its bytes times powers of a base, moved to one place.
+    """
+    joined = b" ".join([b"", *texts, b""])
+    if lower:
+        joined = joined.translate(_LOWER)
+    raw = np.frombuffer(joined, np.uint8)
+    space = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # the first and last byte are spaces
+    starts, ends = edges[::2], edges[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)))
+        hashes = (sums[ends - 1] - sums[starts - 1]) * _powers(_INVERSE, len(raw))[starts]
+        hashes = mix64(hashes ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    bounds = np.cumsum([1, *(len(x) + 1 for x in texts)])
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return hashed_words(words)[0]
+
+
+def text_slices(texts: pa.Array, lower: bool = False):
+    """(first row, hashes of the words, words in each row) of some rows after others, about HASHED_BYTES at a time."""
+    held, size, first = [], 0, 0
+    for row, text in enumerate(texts):
+        data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        held.append(data)
+        size += len(data)
+        if size > HASHED_BYTES:
+            yield first, *hashed_words(held, lower)
+            held, size, first = [], 0, row + 1
+    if held:
+        yield first, *hashed_words(held, lower)
 
 
 def sequence_hashes(ids: np.ndarray, n: int) -> np.ndarray:

@@ -7,8 +7,11 @@ Sets are the 64-bit hashes of a text's distinct word shingles; equal sets are on
 2. Two sets that overlap enough share l tokens of their prefixes when these are l - 1 longer than needed for
    one. A node whose prefix of order 1 has too few tokens that any other node's prefix has, has no partner.
    Tokens are counted packed: each chunk of nodes sends a token once.
+   Of the nodes left, the same is asked for all their tokens: a pair shares no more than either has in common
+   with any node.
 3. The nodes left meet in posting lists of order 1. Each is compared with a pivot of two of its lists, and
-   links make components. Only then are nodes of unlike components paired: those that share a list of order 1
+   links make components; nodes outside a list's main component are compared with one of its nodes as well.
+   Only then are nodes of unlike components paired: those that share a list of order 1
    and a list of order 2, without pairs inside the component that most of a list's nodes are in. So a large
    group of near copies costs links in proportion to its size, and yet no link between components is lost.
 
@@ -28,19 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NULL_ID, WordHashes, arrow_rows, keyed, materialise, mix64, sequence_hashes, words_of
+from weftline.llm.common import NULL_ID, arrow_rows, keyed, materialise, mix64, sequence_hashes, text_slices
 from weftline.llm.components import components
 
 ORDER_WORDS = 100_000  # words whose counts go to the tasks
 
 
-def lower(text: str) -> str:
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
-
-
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 @dataclass
 class Threshold:
     """similar: percent * union <= 100 * intersection."""
@@ -81,35 +77,46 @@ class WordOrder:
         return np.where(self.hashes[at] == words, self.ranks[at], np.uint64(0))
 
 
-def shingles(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending, and where each first starts."""
-    if not len(words):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(words) < k:
-        return mix64(sequence_hashes(words, len(words)), len(words)), np.zeros(1, np.int64)
-    return np.unique(sequence_hashes(words, k), return_index=True)
+def shingle_sets(words: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each text, laid end to end: distinct shingle hashes, ascending; where each first starts; the text's first word."""
+    every = sequence_hashes(words, k)
+    for first, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if not size:
+            yield np.empty(0, np.uint64), np.empty(0, np.int64), first
+        elif size < k:
+            yield mix64(sequence_hashes(words[first : first + size], size), size), np.zeros(1, np.int64), first
+        else:
+            yield *np.unique(every[first : first + size - k + 1], return_index=True), first
+
+
+def shingle_ranks(words: np.ndarray, order: WordOrder, k: int) -> list[np.ndarray]:
+    """By first word of a shingle: its rank in order 1 (rarest word) and 2 (all words)."""
+    ranks = np.r_[order.of(words), np.full(k - 1, 1 << 10, np.uint64)]
+    parts = [ranks[i : i + len(words)] for i in range(k)]
+    return [np.minimum.reduce(parts), np.add.reduce(parts)]
 
 
-def ordered(tokens: np.ndarray, starts: np.ndarray, words: np.ndarray, order: WordOrder, k: int, which: int) -> np.ndarray:
-    """The tokens in global order 1 or 2."""
-    ranks = order.of(words)
-    k = min(k, len(words))
-    parts = [ranks[starts + i] for i in range(k)]
-    rank = np.minimum.reduce(parts) if which == 1 else np.add.reduce(parts)
-    key = (rank << np.uint64(52)) | (mix64(tokens, which) >> np.uint64(12))
-    return tokens[np.argsort(key, kind="stable")]
+def prefix(tokens: np.ndarray, ranks: np.ndarray, which: int, size: int) -> np.ndarray:
+    """The first tokens in global order 1 or 2, in that order."""
+    key = (ranks << np.uint64(49)) | (mix64(tokens, which) >> np.uint64(15))
+    if size < len(key):
+        near = np.argpartition(key, size - 1)[:size]
+        return tokens[near[np.argsort(key[near])]]
+    return tokens[np.argsort(key)]
+
+
+def node_of(tokens: np.ndarray) -> int:
+    """The key of a set: equal sets have equal keys; 0 for the empty one."""
+    return int(mix64(np.array([_fold(tokens)], np.uint64), len(tokens)).view(np.int64)[0]) if len(tokens) else 0
 
 
 def word_order(docs: DataFrame, limit: int = ORDER_WORDS) -> WordOrder:
     """Counts all words of all texts; the most frequent come to the driver, at most `limit` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schema = WordHashes(), pa.schema([("word", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            parts = []
-            for at in range(0, batch.num_rows, 1000):
-                texts = batch.column(0).slice(at, 1000).to_pylist()
-                parts.append(np.unique(hashes.array([w for t in texts for w in words_of(lower(t))]), return_counts=True))
+            parts = [np.unique(words, return_counts=True) for _, words, _ in text_slices(batch.column(0), True)]
             found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             sums = np.bincount(where, np.concatenate([p[1] for p in parts]), len(found)).astype(np.int64)
             yield arrow_rows(schema, [found.view(np.int64), sums])
@@ -127,8 +134,8 @@ def word_order(docs: DataFrame, limit: int = ORDER_WORDS) -> WordOrder:
     return WordOrder(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
-def _chunks(nodes: DataFrame, buckets: int, limit: Threshold) -> DataFrame:
-    """node, live: of how many of its prefix tokens a node knows that another node has them; to be summed."""
+def _chunks(nodes: DataFrame, buckets: int) -> DataFrame:
+    """node, live: of how many of its tokens (`prefix`) a node knows that another node has them; to be summed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("tokens", pa.binary())])
@@ -206,49 +213,48 @@ def jaccard_groups(
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary())])
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
-            for text in batch.column(1):
-                words = hashes.array(words_of(lower(text.as_py())))
-                tokens, starts = shingles(words, shingle)
-                n = len(tokens)
-                node = int(mix64(np.array([_fold(tokens)], np.uint64), n).view(np.int64)[0]) if n else 0
-                sizes.append(n)
-                nodes.append(node)
-                prefixes.append(ordered(tokens, starts, words, order.value, shingle, 1)[: limit.long_prefix(n)].tobytes() if n else b"")
-            yield arrow_rows(schema, [batch.column(0), sizes, nodes, prefixes])
+            rows = []
+            for _, words, many in text_slices(batch.column(1), True):
+                ranks = shingle_ranks(words, order.value, shingle)[0]
+                for tokens, starts, first in shingle_sets(words, many, shingle):
+                    n = len(tokens)
+                    rows.append((n, node_of(tokens), prefix(tokens, ranks[first + starts], 1, limit.long_prefix(n)).tobytes() if n else b""))
+            if rows:
+                yield arrow_rows(schema, [batch.column(0), *zip(*rows, strict=True)])
 
     built = materialise(source.mapInArrow(build, "doc_id long, n long, node long, prefix binary"), "sets")
     nodes = built.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    live = _chunks(nodes, buckets, limit).groupBy("node").agg(F.sum("live").alias("live"))
+    live = _chunks(nodes, buckets).groupBy("node").agg(F.sum("live").alias("live"))
     named = built.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     least = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
     left = materialise(named.join(live, "node").where(F.col("live") >= least).select("node", "doc_id"), "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])
         for batch in batches:
             rows = []
-            for text in batch.column(0):
-                words = hashes.array(words_of(lower(text.as_py())))
-                tokens, starts = shingles(words, shingle)
-                if n := len(tokens):
-                    node = int(mix64(np.array([_fold(tokens)], np.uint64), n).view(np.int64)[0])
-                    both = [ordered(tokens, starts, words, order.value, shingle, k)[: limit.prefix(n)].view(np.int64) for k in (1, 2)]
-                    rows.append((node, n, tokens.tobytes(), *both))
+            for _, words, many in text_slices(batch.column(0), True):
+                ranks = shingle_ranks(words, order.value, shingle)
+                for tokens, starts, first in shingle_sets(words, many, shingle):
+                    if n := len(tokens):
+                        both = [prefix(tokens, ranks[k - 1][first + starts], k, limit.prefix(n)).view(np.int64) for k in (1, 2)]
+                        rows.append((node_of(tokens), n, tokens.tobytes(), *both))
             if rows:
                 yield arrow_rows(schema, list(zip(*rows, strict=True)))
 
     texts = source.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     rebuilt = texts.mapInArrow(rebuild, "node long, n long, tokens binary, first array<long>, second array<long>")
-    sets = materialise(rebuilt.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "kept")
+    near = materialise(rebuilt.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near")
+    # Of all its tokens, how many another node has: no pair can share more.
+    shared = _chunks(near.select("node", F.col("tokens").alias("prefix")), buckets).groupBy("node").agg(F.sum("live").alias("live"))
+    enough = near.join(shared, "node").where(F.col("live") * 100 >= F.col("n") * percent)
+    sets = materialise(enough, "kept")
 
     # Posting lists of at least two nodes.
     def postings(which: str) -> DataFrame:
-        rows = sets.select("node", "n", F.posexplode(which).alias("at", "token"))
+        rows = sets.select("node", "n", "live", F.posexplode(which).alias("at", "token"))
         shared = rows.groupBy("token").agg(F.count("*").alias("times"), F.min_by("node", F.xxhash64("node", "token")).alias("pivot"))
         return materialise(rows.join(shared.where("times > 1"), "token"), which)
 
@@ -259,20 +265,29 @@ def jaccard_groups(
     links = materialise(_verified(star_pairs, sets, limit), "links")
     labels = materialise(components(links), "labels")
 
-    def labelled(lists: DataFrame) -> DataFrame:
-        known = lists.select("token", "node", "n", "at").join(labels, "node", "left")
-        known = known.select("token", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+    def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+        known = lists.select("token", "node", "n", "live", "at").join(labels, "node", "left")
+        known = known.select("token", "node", "n", "live", "at", F.coalesce("label", "node").alias("label"))
         sizes = known.groupBy("token", "label").agg(F.count("*").alias("c"))
         most = sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
         return known.join(most.where("labels > 1"), "token")
 
+    # Nodes outside the component that a list's nodes are mostly in meet one node of that component.
+    other = labelled(first, labels)
+    hubs = other.where("label = most").groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token", F.lit(2))).alias("hub"))
+    again = other.where("label != most").join(hubs, "token").withColumn("turn", F.row_number().over(turn)).where("turn <= 3")
+    more_pairs = again.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = materialise(links.unionByName(_verified(more_pairs, sets, limit)), "links")
+    labels = materialise(components(links), "labels")
+
     def unlike(lists: DataFrame) -> DataFrame:
         """Pairs of a list whose nodes are of unlike components and near enough in size."""
-        rows = materialise(labelled(lists), "unlike")
-        one = rows.where("label != most").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("label").alias("xl"))
-        other = rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("label").alias("yl"), F.col("most").alias("ym"))
+        rows = materialise(labelled(lists, labels), "unlike")
+        one = rows.where("label != most").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("live").alias("xlive"), F.col("at").alias("xat"), F.col("label").alias("xl"))
+        other = rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("live").alias("ylive"), F.col("at").alias("yat"), F.col("label").alias("yl"), F.col("most").alias("ym"))
         near = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
         reach = 1 + F.least(F.col("xn") - F.col("xat") - 1, F.col("yn") - F.col("yat") - 1) + F.least("xat", "yat")
+        reach = F.least(reach, "xlive", "ylive")
         enough = reach * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
         once = (F.col("yl") == F.col("ym")) | (F.col("x") < F.col("y"))
         pairs = one.join(other, "token").where((F.col("xl") != F.col("yl")) & near & enough & once)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NULL_ID, WordHashes, arrow_rows, keyed, materialise, sequence_hashes, with_key, words_of
+from weftline.llm.common import NULL_ID, arrow_rows, hash_words, materialise, sequence_hashes, text_slices, with_key, words_of
 from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs
 
 WINDOW, GRAM = 50, 6
@@ -35,13 +35,14 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
     """row_key, doc_id, start, windows, minimiser, string (hash) of each super-k-mer."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         names = ("row_key", "doc_id", "start", "windows", "minimiser", "string")
         schema = pa.schema([(n, pa.int32() if n in ("start", "windows") else pa.int64()) for n in names])
         for batch in batches:
             out = [[] for _ in names]
-            for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                items = hashes.array(words_of(text))
+            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts = ((first + k, x) for first, words, many in text_slices(batch.column(2)) for k, x in enumerate(np.split(words, np.cumsum(many)[:-1])))
+            for row, items in parts:
+                key, doc_id = keys[row], ids[row]
                 starts, counts, least = runs(items, window, min(GRAM, window))
                 if len(starts):
                     data = items.tobytes()
@@ -129,7 +130,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
     sources = docs.join(lists, "row_key").select("text", "wanted")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         schema = pa.schema([("bucket", pa.int64()), ("string", pa.int64()), ("words", pa.binary()), ("first", pa.int64()), ("base", pa.int32()), ("windows", pa.int32())])
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
                         if w["different"] <= bucket_strings:
                             rows.append((w["minimiser"], w["string"], b" ".join(packed), w["first"], 0, w["windows"]))
                             continue
-                        grams = sequence_hashes(hashes.array(packed), min(GRAM, window))
+                        grams = sequence_hashes(hash_words(packed), min(GRAM, window))
                         where = np.flatnonzero(grams == np.int64(w["minimiser"]).view(np.uint64))
                         each = np.arange(w["windows"])
                         place = where[np.searchsorted(where, each)] - each  # of the first minimiser in each window
