@@ -252,11 +252,17 @@ def jaccard_groups(
     enough = near.join(shared, "node").where(F.col("live") * 100 >= F.col("n") * percent)
     sets = materialise(enough, "kept")
 
+    # Of a group of near copies those that share most of their tokens are nearest to all others.
+    def whole(name: str):
+        return F.struct(F.floor(F.col("live") * 20 / F.col("n")), F.xxhash64("node", "token", F.lit(name)))
+
     # Posting lists of at least two nodes.
     def postings(which: str) -> DataFrame:
         rows = sets.select("node", "n", "live", F.posexplode(which).alias("at", "token"))
-        shared = rows.groupBy("token").agg(F.count("*").alias("times"), F.min_by("node", F.xxhash64("node", "token")).alias("pivot"))
-        return materialise(rows.join(shared.where("times > 1"), "token"), which)
+        shared = rows.groupBy("token").agg(F.count("*").alias("times"), F.max_by("node", whole("pivot")).alias("pivot"))
+        met = rows.join(shared.where("times > 1"), "token")
+        # Before the first token that a pair has in common stand only tokens that it does not share.
+        return materialise(met.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1), which)
 
     first, second = postings("first"), postings("second")
     turn = Window.partitionBy("node").orderBy("at")
@@ -266,15 +272,15 @@ def jaccard_groups(
     labels = materialise(components(links), "labels")
 
     def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-        known = lists.select("token", "node", "n", "live", "at").join(labels, "node", "left")
-        known = known.select("token", "node", "n", "live", "at", F.coalesce("label", "node").alias("label"))
+        known = lists.select("token", "node", "n", "live", "at", "before").join(labels, "node", "left")
+        known = known.select("token", "node", "n", "live", "at", "before", F.coalesce("label", "node").alias("label"))
         sizes = known.groupBy("token", "label").agg(F.count("*").alias("c"))
         most = sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
         return known.join(most.where("labels > 1"), "token")
 
     # Nodes outside the component that a list's nodes are mostly in meet one node of that component.
     other = labelled(first, labels)
-    hubs = other.where("label = most").groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token", F.lit(2))).alias("hub"))
+    hubs = other.where("label = most").groupBy("token").agg(F.max_by("node", whole("hub")).alias("hub"))
     again = other.where("label != most").join(hubs, "token").withColumn("turn", F.row_number().over(turn)).where("turn <= 3")
     more_pairs = again.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialise(links.unionByName(_verified(more_pairs, sets, limit)), "links")
@@ -283,11 +289,10 @@ def jaccard_groups(
     def unlike(lists: DataFrame) -> DataFrame:
         """Pairs of a list whose nodes are of unlike components and near enough in size."""
         rows = materialise(labelled(lists, labels), "unlike")
-        one = rows.where("label != most").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("live").alias("xlive"), F.col("at").alias("xat"), F.col("label").alias("xl"))
-        other = rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("live").alias("ylive"), F.col("at").alias("yat"), F.col("label").alias("yl"), F.col("most").alias("ym"))
+        one = rows.where("label != most").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), (F.col("live") - F.col("before")).alias("xlive"), F.col("at").alias("xat"), F.col("label").alias("xl"))
+        other = rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), (F.col("live") - F.col("before")).alias("ylive"), F.col("at").alias("yat"), F.col("label").alias("yl"), F.col("most").alias("ym"))
         near = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-        reach = 1 + F.least(F.col("xn") - F.col("xat") - 1, F.col("yn") - F.col("yat") - 1) + F.least("xat", "yat")
-        reach = F.least(reach, "xlive", "ylive")
+        reach = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"), "xlive", "ylive")  # if this is their first token in common
         enough = reach * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
         once = (F.col("yl") == F.col("ym")) | (F.col("x") < F.col("y"))
         pairs = one.join(other, "token").where((F.col("xl") != F.col("yl")) & near & enough & once)
