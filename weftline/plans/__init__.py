@@ -1 +1,6 @@
+"""Named queries over the driver's tables."""
 
+from weftline.plans import joining, merging, text_queries  # noqa: F401
+from weftline.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
