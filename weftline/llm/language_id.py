@@ -16,7 +16,6 @@ go to the label that sorts first; an empty table gives an empty table; extra col
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_rows
+from weftline.llm.common import arrow_rows, mix64
 
 UNDETERMINED = "und"
-BUCKETS = 1 << 16
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 PER_LABEL, SEGMENTS, SEGMENT_WORDS = 400, 8, 24
 WORDS = 300_000  # remembered words a worker
 CELLS = 500_000  # words that are solved together
@@ -38,17 +38,39 @@ def letters(word: str) -> str:
     return "".join(filter(str.isalpha, word)).lower()
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word's features; none if it has no letter."""
-    core = letters(word)
-    if not core:
-        return []
-    marked = f"<{core}>"
-    names = [f"w{core}"]
-    names += [f"p{core[:k]}" for k in (1, 2, 3) if len(core) >= k]
-    names += [f"s{core[-k:]}" for k in (1, 2, 3) if len(core) >= k]
-    names += [f"g{marked[i : i + k]}" for k in (1, 2, 3) for i in range(len(marked) - k + 1)]
-    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    return (mix64(x, kind) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of all features of words; none of words without a letter."""
+    cores = [letters(w) for w in words]
+    sizes = np.fromiter(map(len, cores), np.int64, len(cores))
+    there = np.flatnonzero(sizes)
+    codes = np.frombuffer("".join(f"<{cores[i]}>" for i in there).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = sizes[there] + 2
+    starts = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(there)), size)
+    left = np.repeat(starts + size, size) - np.arange(len(codes))  # characters from here to the word's end
+    whole = np.zeros(len(there), np.uint64)
+    out, number = [], [there]
+    with np.errstate(over="ignore"):
+        powers = np.uint64(0x9E6C63D0876A9A47) ** (np.arange(len(codes)) - np.repeat(starts, size)).astype(np.uint64)
+        if len(there):
+            whole = np.add.reduceat(codes * powers, starts)
+        out.append(_mixed(whole, 0))
+        grams = codes
+        for k in (1, 2, 3):
+            if k > 1:
+                grams = np.r_[grams[: max(0, len(codes) - k + 1)] << np.uint64(21) | codes[k - 1 :], np.zeros(k - 1, np.uint64)]
+            fits = np.flatnonzero(left >= k)
+            out.append(_mixed(grams[fits], k))
+            number.append(there[owner[fits]])
+            long = np.flatnonzero(size - 2 >= k)
+            for at, kind in ((starts + 1, 3 + k), (starts + size - 1 - k, 6 + k)):
+                out.append(_mixed(grams[at[long]], kind))
+                number.append(there[long])
+    return np.concatenate(number), np.concatenate(out)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +105,11 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
 
-    def emission(self, buckets: list[int]) -> np.ndarray:
-        return self.weights[buckets].sum(0)
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each word, and which words have features."""
+        number, buckets = features(words)
+        scores = [np.bincount(number, w[buckets], len(words)) for w in self.weights.T]
+        return np.stack(scores, 1), np.bincount(number, minlength=len(words)) > 0
 
 
 def fit(segments: list[tuple[str, list[str]]], labels: list[str], epochs: int = 3, rate: float = 0.2, seed: int = 7) -> Model:
@@ -94,16 +119,16 @@ def fit(segments: list[tuple[str, list[str]]], labels: list[str], epochs: int =
     weights, moves = np.zeros((BUCKETS, n)), np.zeros((n, n))
     grown, moved = np.full((BUCKETS, n), 1e-3), np.full((n, n), 1e-3)
     known: dict[str, int] = {}
-    lists: list[list[int]] = []
+    for _, words in segments:
+        for w in words:
+            known.setdefault(w, len(known))
+    number, buckets = features(list(known))
+    buckets = buckets[np.argsort(number, kind="stable")]
+    many = np.bincount(number, minlength=len(known))
+    lists = np.split(buckets, np.cumsum(many)[:-1]) if len(known) else []
     data = []
     for label, words in segments:
-        ids = []
-        for w in words:
-            if w not in known:
-                known[w] = len(lists)
-                lists.append(features(w))
-            if lists[known[w]]:
-                ids.append(known[w])
+        ids = [i for w in words if many[i := known[w]]]
         if ids:
             data.append((labels.index(label), np.array(ids)))
     chain, batch = 3, 48
@@ -182,41 +207,44 @@ class Tagger:
 
     def reset(self) -> None:
         self.rows: dict[str, int] = {}
+        self.size = 0
         self.table = np.ones((1024, len(self.model.labels)))
 
-    def _row(self, word: str) -> int:
-        buckets = features(word)
-        at = self.rows[word] = len(self.rows) if buckets else -1
-        if buckets:
-            if at >= len(self.table):
-                self.table = np.vstack([self.table, np.ones_like(self.table)])
-            raw = self.model.emission(buckets).astype(np.float64)
-            self.table[at] = np.maximum(np.exp(raw - raw.max()), 1e-30)
-        return at
-
-    def _ids(self, text: str) -> np.ndarray:
-        get, new = self.rows.get, self._row
-        words = text.split()
-        ids = np.fromiter([new(w) if (i := get(w)) is None else i for w in words], np.int64, len(words))
-        return ids[ids >= 0]
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.rows]
+        if not new:
+            return
+        raw, there = self.model.emissions(new)
+        raw = raw[there]
+        size = self.size + len(raw)
+        if size > len(self.table):
+            self.table = np.vstack([self.table[: self.size], np.ones((max(size, 1024), raw.shape[1]))])
+        self.table[self.size : size] = np.maximum(np.exp(raw - raw.max(1, keepdims=True)), 1e-30)
+        numbers = np.where(there, self.size + np.cumsum(there) - 1, -1)
+        self.rows.update(zip(new, numbers.tolist(), strict=True))
+        self.size = size
 
     def tag(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Label probabilities of the words with letters of each text, (word, label), in order."""
-        held: list[np.ndarray] = []
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
-            if len(self.rows) > WORDS:
-                yield from self._solve(held)
-                held = []
-                self.reset()
-            held.append(self._ids(text or ""))
-            if sum(map(len, held)) > CELLS:
+            held.append((text or "").split())
+            size += len(held[-1])
+            if size > CELLS:
                 yield from self._solve(held)
-                held = []
+                held, size = [], 0
         yield from self._solve(held)
 
-    def _solve(self, ids: list[np.ndarray]) -> list[np.ndarray]:
-        if not ids:
+    def _solve(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if not texts:
             return []
+        if len(self.rows) > WORDS:
+            self.reset()
+        self._learn(set().union(*texts))
+        get = self.rows.__getitem__
+        ids = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+        ids = [x[x >= 0] for x in ids]
         likely = posteriors(self.table[np.concatenate(ids)], np.array(list(map(len, ids))), self.model.moves)
         return np.split(likely, np.cumsum(list(map(len, ids)))[:-1])
 
