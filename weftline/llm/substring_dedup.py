@@ -5,9 +5,10 @@
 2. By minimiser: those of one document only are done with. Where all super-k-mers of a minimiser are equal,
    each but those of the first document is a repeat as a whole.
 3. Of the others, each different super-k-mer travels once, as one packed string, to its minimiser's bucket;
-   there its windows are sorted and the runs of equal windows give each window's first document. Where very
-   many different strings share a minimiser, each window goes by the minimiser's place in it and its first
-   words, which are the same in equal windows, so that a frequent passage spreads over tasks.
+   there its windows are sorted and the runs of equal windows give each window's first document. Where many
+   different strings share a minimiser, they are cut into stretches of windows in which it stands at about the
+   same place; these go by that place and the words around it that all their windows hold, so that a frequent
+   passage spreads over tasks.
 4. Runs of repeated windows go back to the documents by string; their words are removed.
 
 Edge cases: null and empty texts have no words; documents of fewer words than a window lose nothing; a null
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import NULL_ID, arrow_rows, hash_words, materialise, sequence_hashes, text_slices, with_key, words_of
-from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs
+from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs, stretches
 
 WINDOW, GRAM = 50, 6
-BUCKET_STRINGS = 2_000  # different super-k-mers of one minimiser that are sorted together
+BUCKET_STRINGS = 500  # different super-k-mers of one minimiser that are sorted together
 
 
 def _pieces(docs: DataFrame, window: int) -> DataFrame:
@@ -142,12 +143,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
                             rows.append((w["minimiser"], w["string"], b" ".join(packed), w["first"], 0, w["windows"]))
                             continue
                         grams = sequence_hashes(hash_words(packed), min(GRAM, window))
-                        where = np.flatnonzero(grams == np.int64(w["minimiser"]).view(np.uint64))
-                        each = np.arange(w["windows"])
-                        place = where[np.searchsorted(where, each)] - each  # of the first minimiser in each window
-                        for k, p in zip(each.tolist(), place.tolist(), strict=True):
-                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + b" ".join(packed[k : k + min(8, window)]))
-                            rows.append((bucket, w["string"], b" ".join(packed[k : k + window]), w["first"], k, 1))
+                        minimiser = np.int64(w["minimiser"]).view(np.uint64)
+                        for k, n, reach, core in stretches(grams, minimiser, w["windows"], window):
+                            bucket = content_hash(b"%d %d " % (w["minimiser"], reach) + b" ".join(packed[core]))
+                            rows.append((bucket, w["string"], b" ".join(packed[k : k + n + window - 1]), w["first"], k, n))
                 if rows:
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))
 

@@ -5,8 +5,9 @@
 2. By minimiser: a super-k-mer that is met twice is a repeat as a whole; one that is alone, with its minimiser
    in it once, is none. The rest travels, each different one once, to the shard of its minimiser.
 3. A shard's suffix array is built by induced sorting, its common prefixes are permuted ones; windows with a
-   neighbour that shares the whole length are repeats. Where very many different strings share a minimiser,
-   each window goes by the minimiser's place in it and its first bytes, which are the same in equal windows.
+   neighbour that shares the whole length are repeats. Where many different strings share a minimiser,
+   they are cut into stretches of windows in which it stands at about the same place; these go by that place
+   and the bytes around it that all their windows hold.
 4. Runs of repeated windows go back to the documents by string; the bytes they cover are removed.
 
 Edge cases: null and empty texts have no bytes; shorter texts than a window lose nothing; repeated rows repeat
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_rows, keyed, materialise, sequence_hashes, with_key
 from weftline.llm.suffix_array import repeats
-from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs
+from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs, stretches
 
 WINDOW, GRAM = 400, 24
 SHARD_BYTES = 1_000_000  # of text in one suffix array, when more than one minimiser is in it
-BUCKET_STRINGS = 2_000  # different super-k-mers of one minimiser that go to one shard
+BUCKET_STRINGS = 500  # different super-k-mers of one minimiser that go to one shard
 BREAK = b"\xff"  # never in UTF-8
 
 
@@ -124,12 +125,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
                         if w["different"] <= bucket_strings:
                             rows.append((w["minimiser"], w["string"], packed, 0, w["windows"]))
                             continue
-                        where = np.flatnonzero(_grams(packed, window) == np.int64(w["minimiser"]).view(np.uint64))
-                        each = np.arange(w["windows"])
-                        place = where[np.searchsorted(where, each)] - each
-                        for k, p in zip(each.tolist(), place.tolist(), strict=True):
-                            bucket = content_hash(b"%d %d " % (w["minimiser"], p) + packed[k : k + min(32, window)])
-                            rows.append((bucket, w["string"], packed[k : k + window], k, 1))
+                        minimiser = np.int64(w["minimiser"]).view(np.uint64)
+                        for k, n, reach, core in stretches(_grams(packed, window), minimiser, w["windows"], window):
+                            bucket = content_hash(b"%d %d " % (w["minimiser"], reach) + packed[core])
+                            rows.append((bucket, w["string"], packed[k : k + n + window - 1], k, n))
                 if rows:
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))
 

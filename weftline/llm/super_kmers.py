@@ -31,6 +31,25 @@ def runs(items: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return starts, np.diff(np.r_[starts, n]), least[starts]
 
 
+def stretches(grams: np.ndarray, minimiser: np.uint64, windows: int, window: int) -> list[tuple[int, int, int, slice]]:
+    """(first window, windows, range of places, core) of a super-k-mer, cut where a window's first minimiser changes its range of places.
+
+    All windows with that place range hold the core, items at the same distance from the minimiser, so that
+    equal windows lie in stretches of equal range and core. A core is an eighth shorter than a window.
+    """
+    width = max(1, window // 8)
+    where = np.flatnonzero(grams == minimiser)
+    each = np.arange(windows)
+    instance = np.searchsorted(where, each)
+    reach = (where[instance] - each) // width
+    cut = np.flatnonzero(np.r_[True, (instance[1:] != instance[:-1]) | (reach[1:] != reach[:-1])])
+    out = []
+    for first, count in zip(cut.tolist(), np.diff(np.r_[cut, windows]).tolist(), strict=True):
+        start = int(where[instance[first]]) - int(reach[first]) * width
+        out.append((first, count, int(reach[first]), slice(start, start - width + 1 + window)))
+    return out
+
+
 def covered(starts: np.ndarray, counts: np.ndarray, window: int, size: int) -> np.ndarray:
     """Which of `size` items some flagged window covers; flagged: `counts` windows from `starts` on."""
     change = np.zeros(size + 1, np.int64)
