@@ -151,7 +151,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))
 
     packed = sources.mapInArrow(pack, "bucket long, string long, words binary, first long, base int, windows int")
-    firsts = materialise(_first_documents(packed, window, parts), "firsts")
+    # Equal stretches of different strings are sorted once, as of their first document.
+    packed = materialise(packed.withColumn("part", F.xxhash64("words")), "packed")
+    parts_once = packed.groupBy("bucket", "part").agg(F.min("first").alias("least"), F.first("words").alias("words"), F.first("windows").alias("windows"))
+    parts_once = materialise(parts_once, "parts")
+    known = packed.drop("words").join(parts_once.select("bucket", "part", "least"), ["bucket", "part"])
+    repeated = known.where("least < first").select("string", F.col("base").alias("at"), "windows", F.col("least").alias("first"))
+    stretch = F.xxhash64("bucket", "part")
+    sorted_parts = parts_once.select("bucket", stretch.alias("string"), "words", F.col("least").alias("first"), F.lit(0).alias("base"), "windows")
+    inside = _first_documents(sorted_parts, window, parts).withColumnRenamed("string", "stretch")
+    firsts_of = known.where("least = first").select("string", "base", stretch.alias("stretch")).join(inside, "stretch")
+    firsts_of = firsts_of.select("string", (F.col("base") + F.col("at")).cast("int").alias("at"), "windows", "first")
+    firsts = materialise(repeated.unionByName(firsts_of), "firsts")
 
     whole = pieces.join(alike, ["minimiser", "string"]).where("doc_id > first").select("row_key", "start", "windows")
     own = pieces.join(mixed.select("minimiser", "string", "first"), ["minimiser", "string"])
