@@ -29,7 +29,7 @@ from weftline.llm.suffix_array import repeats
 from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs, stretches
 
 WINDOW, GRAM = 400, 24
-SHARD_BYTES = 1_000_000  # of text in one suffix array, when more than one minimiser is in it
+SHARD_BYTES = 250_000  # of text in one suffix array, when more than one minimiser is in it
 BUCKET_STRINGS = 500  # different super-k-mers of one minimiser that go to one shard
 BREAK = b"\xff"  # never in UTF-8
 
