@@ -113,7 +113,7 @@ def _first_documents(strings: DataFrame, window: int, parts: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
-    """row_key, start, windows: the windows of each row of `docs` that also start in a document of a smaller id."""
+    """row_key, spans (start, windows): the windows of each row of `docs` that also start in a document of a smaller id."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = materialise(_pieces(docs, window), "pieces")
@@ -164,11 +164,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
     firsts_of = firsts_of.select("string", (F.col("base") + F.col("at")).cast("int").alias("at"), "windows", "first")
     firsts = materialise(repeated.unionByName(firsts_of), "firsts")
 
-    whole = pieces.join(alike, ["minimiser", "string"]).where("doc_id > first").select("row_key", "start", "windows")
+    span = F.array(F.struct("start", "windows")).alias("spans")
+    whole = pieces.join(alike, ["minimiser", "string"]).where("doc_id > first").select("row_key", span)
     own = pieces.join(mixed.select("minimiser", "string", "first"), ["minimiser", "string"])
-    later = own.where("doc_id > first").select("row_key", "start", "windows")
-    inner = own.where("doc_id = first").select("row_key", "start", "string", "doc_id").join(firsts.withColumnRenamed("first", "least"), "string")
-    parts_of = inner.where("least < doc_id").select("row_key", (F.col("start") + F.col("at")).cast("int").alias("start"), "windows")
+    later = own.where("doc_id > first").select("row_key", span)
+    # A string's stretches, no more than it has windows, are gathered before they meet its documents.
+    gathered = firsts.groupBy("string").agg(F.collect_list(F.struct("at", "windows", F.col("first").alias("least"))).alias("found"))
+    inner = own.where("doc_id = first").select("row_key", "start", "string", "doc_id").join(gathered, "string")
+    earlier = F.filter("found", lambda x: x["least"] < F.col("doc_id"))
+    moved = F.transform(earlier, lambda x: F.struct((F.col("start") + x["at"]).cast("int").alias("start"), x["windows"].alias("windows")))
+    parts_of = inner.select("row_key", moved.alias("spans")).where(F.size("spans") > 0)
     return whole.unionByName(later).unionByName(parts_of)
 
 
@@ -182,7 +187,7 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more
     )
     source = with_key(own)
-    spans = repeated_spans(source, window, bucket_strings).groupBy("row_key").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    spans = repeated_spans(source, window, bucket_strings).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = source.join(spans, "row_key", "left").select("doc_id", "text", "spans", *more)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
