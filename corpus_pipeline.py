@@ -6,7 +6,7 @@ read back before the next one starts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise
@@ -34,13 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document of the smallest id stays; null ids count as largest.
+    """Of each group of near copies (five words, 0.8) one row stays: that of the smallest id, then of the smallest row key.
 
-    Rows of one id are judged by their texts: all rows of the smallest id stay.
+    Ids decide nothing else: they may be null (then they count as largest) or repeated. Rows without words are no copies.
     """
-    groups = jaccard_groups(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows = docs.withColumn("pipeline_key", F.xxhash64(*docs.columns)).withColumn("pipeline_id", F.col("doc_id").cast("long"))
+    groups = jaccard_groups(rows, "pipeline_key", shingle=SHINGLE, percent=PERCENT, carry="pipeline_id")
+    least = F.min(F.struct(F.col("pipeline_id").isNull(), "pipeline_id", "doc_id", "n_shingles"))
+    stay = groups.groupBy("component_id").agg(least.alias("x")).select(F.col("x.doc_id").alias("pipeline_key"), "x.n_shingles")
+    # Rows that are alike in all columns have one key.
+    turn = F.row_number().over(Window.partitionBy("pipeline_key").orderBy("pipeline_key"))
+    left = rows.join(stay, "pipeline_key").withColumn("pipeline_turn", turn)
+    return left.where("pipeline_turn = 1 or n_shingles = 0").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

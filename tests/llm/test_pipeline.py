@@ -58,3 +58,22 @@ def test_hard_tables(spark):
             assert out.columns == docs.columns
             out.collect()
     assert len(pipeline.language(spark, odd, SF).collect()) == 1
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copied, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    near = lambda text: f"{text} end"
+    clean = [f"only {i} " + " ".join(f"u{i}w{j}" for j in range(20)) for i in range(4)]
+    rows = [(1, copied), (None, near(copied)), (None, clean[0]), (None, clean[1])]  # a numbered text with a copy of null id
+    rows += [(None, other), (None, near(other)), (None, other)]  # null ids only
+    rows += [(7, near(copied)), (7, clean[2]), (7, clean[3])]  # a repeated id, one text of which is a copy
+    rows += [(9, third), (9, near(third)), (9, third), (8, near(third)), (8, near(third))]  # copies under one id
+    rows += [(None, None), (None, None), (5, ""), (5, "")]  # no words: no copies
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    for parts in (1, 3):
+        got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, table.repartition(parts), SF).collect()]
+        others = [x for x in got if x[1] not in (other, near(other))]
+        want = [(1, copied), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, near(third)), (None, None), (None, None), (5, ""), (5, "")]
+        assert sorted(others, key=str) == sorted(want, key=str)
+        assert len(got) == len(others) + 1 and [i for i, t in got if t in (other, near(other))] == [None]

@@ -34,11 +34,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator reads, renamed, so that no other column can clash with its own."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
+    """The two columns an operator reads, renamed, so that no other column can clash with its own; and a long one it carries."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *([F.col(carry).cast("long")] if carry else []),
     )
 
 

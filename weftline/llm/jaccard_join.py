@@ -204,16 +204,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def jaccard_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, order_words: int = ORDER_WORDS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least id that each document reaches over links."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, order_words: int = ORDER_WORDS,
+    carry: str | None = None,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least id that each document reaches over links; and the long column `carry`, if named."""
     spark, limit = docs.sparkSession, Threshold(shingle, percent)
-    source = keyed(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    source = keyed(docs, id_col, text_col, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    carried = [F.col(carry)] if carry else []
     order = spark.sparkContext.broadcast(word_order(source, order_words))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), *[(carry, pa.int64())] * bool(carry)])
         for batch in batches:
             rows = []
             for _, words, many in text_slices(batch.column(1), True):
@@ -222,9 +224,9 @@ def jaccard_groups(
                     n = len(tokens)
                     rows.append((n, node_of(tokens), prefix(tokens, ranks[first + starts], 1, limit.long_prefix(n)).tobytes() if n else b""))
             if rows:
-                yield arrow_rows(schema, [batch.column(0), *zip(*rows, strict=True)])
+                yield arrow_rows(schema, [batch.column(0), *zip(*rows, strict=True), *batch.columns[2:]])
 
-    built = materialise(source.mapInArrow(build, "doc_id long, n long, node long, prefix binary"), "sets")
+    built = materialise(source.mapInArrow(build, "doc_id long, n long, node long, prefix binary" + (f", `{carry}` long" if carry else "")), "sets")
     nodes = built.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     live = _chunks(nodes, buckets).groupBy("node").agg(F.sum("live").alias("live"))
     named = built.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -302,12 +304,12 @@ def jaccard_groups(
     more = materialise(_verified(candidates, sets, limit), "links")
     final = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     groups = components(final)
-    joined = built.select("doc_id", "n", "node").join(groups, "node", "left")
-    whole = joined.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    joined = built.select("doc_id", "n", "node", *carried).join(groups, "node", "left")
+    whole = joined.select("doc_id", "n", *carried, F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
     leasts = whole.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = whole.join(leasts, "label", "left")
     null = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"), *carried)
 
 
 def _fold(tokens: np.ndarray) -> int:
