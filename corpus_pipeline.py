@@ -15,12 +15,11 @@ from weftline.llm.language_id import UNDETERMINED, identify, trained
 from weftline.llm.packing import packed_documents
 from weftline.llm.substring_dedup import remove_repeats
 
-LEAST_SCORE = 0.5
 SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of which no language has half.
+    """Rejects documents without a letter and those in no known language; mixtures of known ones stay.
 
     The model learns from the labelled rows of `docs`; without any, no document can be judged and all with a
     letter stay. Equal rows are judged alike; a null id is no reason to reject.
@@ -29,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     marked = docs.withColumn("pipeline_row", F.struct(*docs.columns))
-    said = identify(marked, model, "pipeline_row", "text")
-    return said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc_id.*")
+    said = identify(marked, model, "pipeline_row", "text", known=True)
+    return said.where((F.col("lang_pred") != UNDETERMINED) & F.col("known")).select("doc_id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

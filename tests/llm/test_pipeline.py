@@ -77,3 +77,18 @@ def test_one_row_of_each_group_whatever_its_id(spark):
         want = [(1, copied), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, near(third)), (None, None), (None, None), (5, ""), (5, "")]
         assert sorted(others, key=str) == sorted(want, key=str)
         assert len(got) == len(others) + 1 and [i for i, t in got if t in (other, near(other))] == [None]
+
+
+def test_mixed_and_one_word_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = {k: [f"{k}{x}{y}" for x in "aeiou" for y in "lmnrst"] for k in ("de", "en", "es", "fr")}
+    learned = [(i, " ".join([*own[k][i % 15 :], "mi"]), k) for i in range(80) for k in own]
+    mixed = lambda *parts: " ".join(w for k, n in parts for w in own[k][:n])
+    clean = [mixed(("de", 18), ("en", 16), ("fr", 6)), mixed(("de", 15), ("en", 15), ("es", 3)), mixed(*((k, 10) for k in own)), "mi", "mi mi"]
+    other = ["\u65e5\u672c\u8a9e \u306e \u6587\u7ae0", "12 !!", None]
+    rows = [*learned, *((1_000 + i, t, None) for i, t in enumerate([*clean, *other]))]
+    table = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in rows], docs.schema)
+    said = {r["doc_id"]: r["score"] for r in identify(table.where("doc_id >= 1000"), trained(table)).collect()}
+    assert all(said[1_000 + i] < 0.5 for i in range(4))
+    kept = [r["text"] for r in pipeline.language(spark, table, SF).collect() if r["doc_id"] >= 1_000]
+    assert sorted(kept) == sorted(clean)

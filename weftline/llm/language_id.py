@@ -32,6 +32,7 @@ BUCKETS = 1 << BUCKET_BITS
 PER_LABEL, SEGMENTS, SEGMENT_WORDS = 400, 8, 24
 WORDS = 300_000  # remembered words a worker
 CELLS = 500_000  # words that are solved together
+LEAST_SURE, LEAST_KNOWN = 0.5, 0.5  # of a word's probability, of words
 
 
 def letters(word: str) -> str:
@@ -104,6 +105,7 @@ class Model:
     labels: list[str]
     weights: np.ndarray
     moves: np.ndarray
+    alphabet: frozenset[str] = frozenset()  # letters of the words learned from
 
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of each word, and which words have features."""
@@ -166,7 +168,7 @@ def fit(segments: list[tuple[str, list[str]]], labels: list[str], epochs: int =
             change = seen - pairs
             moved += change**2
             moves += rate * change / np.sqrt(moved)
-    return Model(labels, weights.astype(np.float32), np.exp(moves - moves.max()).astype(np.float64))
+    return Model(labels, weights.astype(np.float32), np.exp(moves - moves.max()).astype(np.float64), frozenset("".join(map(letters, known))))
 
 
 def train(
@@ -314,25 +316,40 @@ def spans_of(likely: np.ndarray, labels: list[str]) -> list[dict]:
     return [{"start": int(s), "words": int(n), "label": labels[best[s]]} for s, n in zip(starts, sizes, strict=True)]
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """id_col's value as doc_id, lang_pred, score and, if asked for, the spans of words of one label."""
+def in_known_language(text: str | None, likely: np.ndarray, model: Model) -> bool:
+    """Whether the words are in some of the model's languages, however mixed: a word has half for one label in the mean,
+    or half of the words have only letters that were learned from."""
+    if not len(likely):
+        return False
+    if likely.max(1).mean() >= LEAST_SURE:
+        return True
+    cores = [c for w in (text or "").split() if (c := letters(w))]
+    return sum(model.alphabet.issuperset(c) for c in cores) >= LEAST_KNOWN * len(cores)
+
+
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, known: bool = False
+) -> DataFrame:
+    """id_col's value as doc_id, lang_pred, score and, if asked for, the spans of words of one label and `in_known_language`."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = "lang_pred string, score double" + ", spans array<struct<start: long, words: long, label: string>>" * spans
+    kinds = "lang_pred string, score double" + ", spans array<struct<start: long, words: long, label: string>>" * spans + ", known boolean" * known
     span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("label", pa.string())]))
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), *[("spans", span)] * spans])
+    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), *[("spans", span)] * spans, *[("known", pa.bool_())] * known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                names, scores, runs = [], [], []
-                for likely in tagger.tag(part.column(1).to_pylist()) if model.labels else [np.empty((0, 0))] * len(part):
+                names, scores, runs, sure = [], [], [], []
+                texts = part.column(1).to_pylist()
+                for text, likely in zip(texts, tagger.tag(texts) if model.labels else [np.empty((0, 0))] * len(part), strict=True):
                     mean = likely.mean(0) if len(likely) else None
                     names.append(UNDETERMINED if mean is None else model.labels[int(mean.argmax())])
                     scores.append(0.0 if mean is None else float(min(1.0, mean.max())))
                     runs.append(spans_of(likely, model.labels) if spans else None)
-                said = arrow_rows(schema, [names, scores, runs][: len(schema)])
+                    sure.append(in_known_language(text, likely, model) if known else None)
+                said = arrow_rows(schema, [names, scores, *[runs] * spans, *[sure] * known])
                 yield pa.RecordBatch.from_arrays([part.column(0), *said.columns], names=["doc_id", *schema.names])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {kinds}")
