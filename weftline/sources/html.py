@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ NODE = T.ArrayType(
     T.StructType()
     .add("node", T.IntegerType()).add("parent", T.IntegerType()).add("pre", T.IntegerType()).add("post", T.IntegerType())
     .add("depth", T.IntegerType()).add("tag", T.StringType()).add("attrs", T.MapType(T.StringType(), T.StringType())).add("own_text", T.StringType())
+    .add("first", T.IntegerType()).add("after", T.IntegerType())  # of the page's runs of text, those inside
+    .add("runs", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("text", T.StringType())))
 )
 
 
@@ -28,19 +30,23 @@ class _Nodes(HTMLParser):
         self.rows: list[list] = []
         self.open: list[int] = []
         self.clock = 0
+        self.said = 0  # runs of text so far
+        self.run: list | None = None  # that no tag has ended
 
     def _tick(self) -> int:
         self.clock += 1
         return self.clock
 
     def _end(self) -> None:
-        self.rows[self.open.pop()][3] = self._tick()
+        row = self.rows[self.open.pop()]
+        row[3], row[9], self.run = self._tick(), self.said, None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and self.rows[self.open[-1]][5] in CLOSES.get(tag, ()) or self.open and tag in BLOCKS and self.rows[self.open[-1]][5] == "p":
             self._end()
         parent = self.open[-1] if self.open else None
-        self.rows.append([len(self.rows), parent, self._tick(), None, len(self.open), tag, {k: v or "" for k, v in attrs}, ""])
+        self.rows.append([len(self.rows), parent, self._tick(), None, len(self.open), tag, {k: v or "" for k, v in attrs}, "", self.said, None, []])
+        self.run = None
         self.open.append(len(self.rows) - 1)
         if tag in VOID:
             self._end()
@@ -53,7 +59,13 @@ class _Nodes(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            self.rows[self.open[-1]][7] += data
+            row = self.rows[self.open[-1]]
+            row[7] += data
+            if self.run is None:
+                self.run = [self.said, ""]
+                row[10].append(self.run)
+                self.said += 1
+            self.run[1] += data
 
 
 def nodes_of(html: str | None) -> list[tuple]:
@@ -62,7 +74,7 @@ def nodes_of(html: str | None) -> list[tuple]:
     parser.close()
     while parser.open:
         parser._end()
-    return [tuple(r) for r in parser.rows]
+    return [(*r[:10], [tuple(x) for x in r[10]]) for r in parser.rows]
 
 
 @F.udf(NODE, useArrow=True)
@@ -71,7 +83,7 @@ def parse_html(html: str) -> list[tuple]:
 
 
 def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, node, parent, pre, post, depth, tag, attrs, own_text. Null or empty pages have no nodes."""
+    """page_id, node, parent, pre, post, depth, tag, attrs, own_text, first, after, runs. Null or empty pages have no nodes."""
     return pages.select(F.col(id_col).alias("page_id"), F.explode(parse_html(html_col)).alias("x")).select("page_id", "x.*")
 
 
@@ -79,11 +91,15 @@ def anchors(nodes: DataFrame) -> DataFrame:
     return nodes.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", "pre", F.col("attrs")["href"].alias("href"), "own_text")
 
 
-def block_text(nodes: DataFrame, tags: tuple[str, ...] = ("p", "h1", "li")) -> DataFrame:
-    """page_id, start, tag, text: of each node of these tags, the text of all nodes inside it, in order."""
-    flow = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = F.when(F.col("tag").isin(*tags), F.struct("pre", "post", "tag"))
-    marked = nodes.withColumn("block", F.last(opened, ignorenulls=True).over(flow)).where("block.post >= post")
-    parts = F.array_sort(F.collect_list(F.struct("pre", "own_text")))
-    grouped = marked.groupBy("page_id", F.col("block.pre").alias("start"), F.col("block.tag").alias("tag"))
-    return grouped.agg(F.array_join(F.transform(parts, lambda x: x["own_text"]), " ").alias("text"))
+def block_text(nodes: DataFrame, tags: tuple[str, ...] = tuple(sorted(BLOCKS))) -> DataFrame:
+    """page_id, start, tag, text: of each node of these tags, the text of all nodes inside it, in order.
+
+    Text counts for every block around it. Inside a node stand consecutive runs of its page's text, so a page's rows
+    travel once and no ancestors are listed.
+    """
+    block = F.when(F.col("tag").isin(*tags), F.struct("pre", "tag", "first", "after"))
+    runs = F.transform(F.array_sort(F.flatten(F.collect_list("runs"))), lambda x: x["text"])
+    pages = nodes.groupBy("page_id").agg(F.collect_list(block).alias("blocks"), runs.alias("runs"))
+    text = lambda x: F.array_join(F.slice("runs", x["first"] + 1, x["after"] - x["first"]), " ")
+    found = F.transform("blocks", lambda x: F.struct(x["pre"].alias("start"), x["tag"].alias("tag"), text(x).alias("text")))
+    return pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
