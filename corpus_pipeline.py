@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import free, settled
 from weftline.llm.jaccard_join import jaccard_groups
 from weftline.llm.language_id import UNDETERMINED, identify, trained
 from weftline.llm.packing import packed_documents
@@ -61,6 +61,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the pieces of all documents that are left into sequences; null texts count as empty, no document goes."""
     return packed_documents(docs)
 
 
@@ -70,6 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        if k:
+            free(before)
     return STAGES[-1][1](spark, docs, sf_dir)

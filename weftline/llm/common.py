@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,17 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 NULL_ID = (1 << 63) - 1
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[int, str] = {}  # by number, the tables that are there
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a temporary one in a single process; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,8 +39,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df once as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftline_table = max(_made, default=0) + 1
+    _made[out.weftline_table] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` wrote and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, _made.pop(table.weftline_table))
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialises what `make` returns and deletes what it materialised on the way."""
+    last = max(_made, default=0)
+    out = materialise(make(), name)
+    for number in [k for k in _made if last < k < out.weftline_table]:
+        _delete(out.sparkSession, _made.pop(number))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import free, materialise
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "edges")
     digest = None
     while True:
-        now = materialise(_step(_step(now, True), False), "edges")
+        before, now = now, materialise(_step(_step(now, True), False), "edges")
+        free(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == digest:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
