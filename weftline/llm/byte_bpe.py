@@ -13,7 +13,8 @@ U+FFFD for each maximal broken part.
 from __future__ import annotations
 
 import base64
-import hashlib
+import gc
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_rows, keyed
 
-STATES = 150_000  # kept transducer states and remembered units; more empty the store, results stay the same
+STATES = 100_000  # kept transducer states and pairs of tokens; more empty the store, results stay the same
+PIECES, UNITS = 400_000, 500_000  # remembered pre-tokens, and stretches between spaces; likewise
+
+
+_BYTES = [bytes([i]) for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +58,8 @@ class MergeTransducer:
         self.reset()
 
     def reset(self) -> None:
+        for state in getattr(self, "states", {}).values():  # states may lead back to each other
+            state.moves.clear()
         self.states: dict[tuple[bytes | None, bytes], State] = {}
         self.start = self._state(None, b"", (), ())
 
@@ -92,21 +99,31 @@ class MergeTransducer:
         """Whether the merges make this token, and keep both apart, when it follows `before`.
 
         Parts that meet at the seam join if that merge ranks below those that join either onto its own side;
-        at one rank the left one goes first.
+        at one rank the left one goes first. Going back in time, the part that was made last is taken apart first.
         """
-        if token not in self.ranks or not self._parts(token):
+        if not self._parts(token):
             return False
         if before is None:
             return True
         if (apart := self.beside.get((before, token))) is None:
-            if len(self.beside) >= 2 * STATES:
+            if len(self.beside) >= STATES:
                 self.beside.clear()
             get, apart = self.ranks.get, True
-            for left, left_until in self._edge(before, 1):
-                for right, right_until in self._edge(token, 0):
-                    rank = get(left + right)
-                    if rank is not None and rank < left_until and rank <= right_until:
-                        apart = False
+            lefts, rights = self._edge(before, 1), self._edge(token, 0)
+            i, j, most_left, most_right = 0, 0, len(lefts) - 1, len(rights) - 1
+            while True:
+                left, left_until = lefts[i]
+                right, right_until = rights[j]
+                rank = get(left + right)
+                if rank is not None and rank < left_until and rank <= right_until:
+                    apart = False
+                    break
+                if i < most_left and (j == most_right or lefts[i + 1][1] > rights[j + 1][1]):
+                    i += 1
+                elif j < most_right:
+                    j += 1
+                else:
+                    break
             self.beside[before, token] = apart
         return apart
 
@@ -123,26 +140,27 @@ class MergeTransducer:
         return path[::-1]
 
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        data = state.pending + bytes([byte])
-        size = len(data)
+        data = state.pending + _BYTES[byte]
+        size, before = len(data), state.before
         ends, seams = state.ends, state.seams
+        ranks, starts = self.ranks, self.starts
+        agreed, found = -1, False
         for at in range(max(0, size - self.longest), size):
             token = data[at:]
-            if token in self.ranks and self._stands(ends[at - 1] if at else state.before, token):
+            if not found and token in ranks and self._stands(ends[at - 1] if at else before, token):
+                found = True
                 ends += (token,)
                 seams += ((seams[at - 1] if at else 1) | 1 << size,)
-                break
-        agreed, starts = seams[-1], self.starts
-        for at in range(size):
-            if data[at:] in starts:
+                agreed &= seams[-1]
+            if token in starts:
                 agreed &= seams[at - 1] if at else 1
         if cut := agreed.bit_length() - 1:
             emitted = tuple(self._tokens(ends, cut))
-            target = self._state(ends[cut - 1], data[cut:], ends[cut:], tuple(x >> cut for x in seams[cut:]))
+            target = self._state(ends[cut - 1], data[cut:], ends[cut:], tuple([x >> cut for x in seams[cut:]]))
         else:
-            emitted, target = (), self._state(state.before, data, ends, seams)
-        state.moves[byte] = target, emitted
-        return target, emitted
+            emitted, target = (), self._state(before, data, ends, seams)
+        move = state.moves[byte] = target, emitted
+        return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -225,36 +243,41 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.transducer = MergeTransducer(ranks)
         self.decoder = Utf8Decoder({i: t for t, i in ranks.items()})
-        self.units: dict[str, tuple[int, ...] | None] = {}
-        self.pieces: dict[str, list[int]] = {}
+        #: Ids as packed 32-bit numbers: small, and no objects that Python's collector walks.
+        self.units: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= STATES:
-                self.pieces.clear()
-            ids = self.transducer.encode(piece.encode())
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
             if len(piece) < 64:
+                if len(self.pieces) >= PIECES:
+                    self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
-    def _all(self, text: str) -> list[int]:
-        return [i for piece in self.find(text) for i in self._piece(piece)]
+    def _all(self, text: str) -> bytes:
+        return b"".join([self._piece(piece) for piece in self.find(text)])
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit numbers of this machine's byte order."""
         first, *rest = text.split(" ")
-        out = self._all(first)
+        out = [self._all(first)]
         units = self.units
         for unit in rest:
             if (ids := units.get(unit, 0)) == 0:
-                ids = None if not unit or unit[0].isspace() else tuple(self._all(" " + unit))
+                ids = None if not unit or unit[0].isspace() else self._all(" " + unit)
                 if len(unit) < 64:
-                    if len(units) >= STATES:
+                    if len(units) >= UNITS:
                         units.clear()
                     units[unit] = ids
             if ids is None:  # a run of white space: no cut there
                 return self._all(text)
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("I", self.packed(text)).tolist()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -299,20 +322,36 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
     return source.mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def transcode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int) of each whole text, and text: these ids decoded again; both in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(ranks_path, pattern)
+        decode = own.decoder.decode
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+        gc.disable()  # it would walk all states again and again; `reset` leaves no cycles behind
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    coded = [np.frombuffer(own.packed(t), np.int32) for t in part.column(1).to_pylist()]
+                    offsets = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
+                    texts = pa.array([decode(x.tolist()) for x in coded], pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], schema=schema)
+        finally:
+            gc.enable()
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     at = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = decode_ids(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), *at), *at)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [np.frombuffer(x, "<u4").tolist() for x in part.column(1).to_pylist()]
-                listed = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-                yield arrow_rows(schema, [part.column(0), list(map(len, ids)), listed, part.column(2)])
-
-    hashed = decoded.withColumn("text", F.sha2(F.col("text").cast("binary"), 256))
-    return hashed.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = transcode(spark.read.parquet(f"{sf_dir}/documents.parquet"), *at)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )

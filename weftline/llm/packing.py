@@ -52,6 +52,9 @@ class UnitIds(dict):
         self.tokenizer.encode_special_tokens = True
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split).findall
+        #: Marks that the pattern splits off the end of a word of letters; such units need no pattern.
+        plain = self.split("abcÀéÿ") == ["abcÀéÿ"]
+        self.marks = {c for c in ".,;:!?" if plain and self.split(f"abc{c}") == ["abc", c]}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, units: list[str]) -> list[bytes]:
@@ -59,10 +62,21 @@ class UnitIds(dict):
         return [array("I", x.ids).tobytes() for x in coded]
 
     def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self]
-        latin = [u for u in new if u and max(u) <= self.LAST]
-        other = [u for u in new if not u or max(u) > self.LAST]
-        parts = [self.split(u.lower()) for u in latin]
+        latin, parts, other, marks, last = [], [], [], self.marks, self.LAST
+        for unit in units:
+            if unit in self:
+                continue
+            if not (unit.isascii() or max(unit) <= last) or not unit:
+                other.append(unit)
+                continue
+            low = unit.lower()
+            latin.append(unit)
+            if marks and low.isalpha():
+                parts.append((low,))
+            elif low[-1] in marks and low[:-1].isalpha():
+                parts.append((low[:-1], low[-1]))
+            else:
+                parts.append(self.split(low))
         if len(self.words) > UNITS:
             self.words.clear()
         words = self.words
