@@ -73,7 +73,7 @@ def _pass(sa: np.ndarray, s: np.ndarray, induced: np.ndarray, pointer: np.ndarra
 def _induce(s: np.ndarray, smaller: np.ndarray, heads: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the leftmost-smaller ones in order (or, with some order, their substrings)."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     order = np.argsort(s[lms], kind="stable")
     placed = lms[order]
     chars = s[placed]
@@ -94,7 +94,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, heads: np.ndarray, ends: np.ndar
 def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """The rank of each leftmost-smaller substring, in the order of positions; equal ones share it."""
     n = len(s)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     length[lms] = np.diff(np.r_[lms, n - 1]) + 1
     a, b = ordered[:-1], ordered[1:]
     same = length[a] == length[b]
@@ -105,8 +105,8 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
         k += 1
         active = active[equal]
         active = active[length[a[active]] > k]
-    ranks = np.r_[0, np.cumsum(~same)]
-    name = np.zeros(n, np.int64)
+    ranks = np.r_[0, np.cumsum(~same)].astype(np.int32)
+    name = np.zeros(n, np.int32)
     name[ordered] = ranks
     return name[lms], int(ranks[-1]) + 1
 
@@ -117,7 +117,7 @@ def _sorted(s: np.ndarray) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     smaller = _types(s)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s)
     ends = np.cumsum(counts)
     heads = ends - counts
@@ -133,7 +133,7 @@ def _sorted(s: np.ndarray) -> np.ndarray:
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """The order of all suffixes of an array of small non-negative numbers."""
-    return _sorted(np.r_[data.astype(np.int64) + 1, 0])[1:]
+    return _sorted(np.r_[data.astype(np.int32) + 1, np.zeros(1, np.int32)])[1:]
 
 
 def common_prefixes(data: bytes, sa: np.ndarray) -> np.ndarray:
@@ -143,13 +143,13 @@ def common_prefixes(data: bytes, sa: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     raw = np.frombuffer(data + b"\0" * 16, np.uint8)
-    words = np.lib.stride_tricks.as_strided(raw, (n + 8, 8), (1, 1)).copy().view("<u8").ravel()
-    before = np.full(n, -1, np.int64)
+    words = np.ndarray((n + 8,), "<u8", raw, strides=(1,))  # the eight bytes from each position on
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     start = (before <= 0) | (here == 0) | (raw[here - 1] != raw[before - 1])
     at = np.flatnonzero(start)
-    length = np.zeros(len(at), np.int64)
+    length = np.zeros(len(at), np.int32)
     active = np.flatnonzero(before[at] >= 0)
     while len(active):
         x, y = at[active] + length[active], before[at[active]] + length[active]
@@ -159,7 +159,7 @@ def common_prefixes(data: bytes, sa: np.ndarray) -> np.ndarray:
         equal = np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, 1).astype(np.float64))).astype(np.int64) // 8)
         length[active] += np.minimum(equal, room)
         active = active[(equal == 8) & (room > 8)]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     out[at] = length + at
     last = np.maximum.accumulate(np.where(start, here, 0))
     return np.maximum(out[last] - here, 0)

@@ -7,7 +7,8 @@
 3. A shard's suffix array is built by induced sorting, its common prefixes are permuted ones; windows with a
    neighbour that shares the whole length are repeats. Where many different strings share a minimiser,
    they are cut into stretches of windows in which it stands at about the same place; these go by that place
-   and the bytes around it that all their windows hold.
+   and the bytes around it that all their windows hold. A stretch that is met twice is a repeat as a whole,
+   and one copy of it travels, for windows that others share with it.
 4. Runs of repeated windows go back to the documents by string; the bytes they cover are removed.
 
 Edge cases: null and empty texts have no bytes; shorter texts than a window lose nothing; repeated rows repeat
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_rows, keyed, materialise, sequence_hashes, with_key
+from weftline.llm.common import arrow_rows, free, keyed, materialise, sequence_hashes, with_key
 from weftline.llm.suffix_array import repeats
 from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs, stretches
 
@@ -68,20 +69,20 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _shard_repeats(strings: DataFrame, window: int, parts: int) -> DataFrame:
-    """string, at, windows: runs of repeated windows inside the travelling strings."""
+    """bucket, part, at, windows: runs of repeated windows inside the travelling stretches (bucket, part, bytes, windows)."""
 
-    def solve(rows: list[tuple]) -> tuple[list, list, list]:
+    def solve(rows: list[tuple]) -> tuple[list, list, list, list]:
         flags = repeats(BREAK.join(r[2] for r in rows) + BREAK, window)
-        found, at = ([], [], []), 0
-        for _, string, data, base, windows in rows:
+        found, at = ([], [], [], []), 0
+        for bucket, part, data, windows in rows:
             for s, n in zip(*flag_runs(flags[at : at + windows]), strict=True):
-                for column, value in zip(found, (string, base + int(s), int(n)), strict=True):
+                for column, value in zip(found, (bucket, part, int(s), int(n)), strict=True):
                     column.append(value)
             at += len(data) + 1
         return found
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("string", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
+        schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())])
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -94,7 +95,7 @@ def _shard_repeats(strings: DataFrame, window: int, parts: int) -> DataFrame:
             yield arrow_rows(schema, list(solve(held)))
 
     dealt = strings.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.select("bucket", "string", "bytes", "base", "windows").mapInArrow(sort, "string long, at int, windows int")
+    return dealt.select("bucket", "part", "bytes", "windows").mapInArrow(sort, "bucket long, part long, at int, windows int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
@@ -106,6 +107,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
     )
     groups = strings.groupBy("minimiser").agg(F.sum("times").alias("met"), F.count("*").alias("different"), F.max("often").alias("any_often"))
     known = materialise(strings.join(groups.where("met > 1 or any_often"), "minimiser"), "groups")
+    free(strings)
     twice = known.where("times > 1").select("minimiser", "string")
     travels = known.where("different > 1 or (often and times = 1)")
 
@@ -114,8 +116,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
     sources = docs.dropDuplicates(["row_key"]).join(lists, "row_key").select("text", "wanted")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-        schema = pa.schema(list(zip(("bucket", "string", "bytes", "base", "windows"), kinds, strict=True)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        schema = pa.schema(list(zip(("bucket", "minimiser", "string", "bytes", "base", "windows"), kinds, strict=True)))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = []
@@ -123,21 +125,32 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
                     for w in {(w["minimiser"], w["string"]): w for w in asked}.values():
                         packed = data[w["start"] : w["start"] + w["windows"] + window - 1]
                         if w["different"] <= bucket_strings:
-                            rows.append((w["minimiser"], w["string"], packed, 0, w["windows"]))
+                            rows.append((w["minimiser"], w["minimiser"], w["string"], packed, 0, w["windows"]))
                             continue
                         minimiser = np.int64(w["minimiser"]).view(np.uint64)
                         for k, n, reach, core in stretches(_grams(packed, window), minimiser, w["windows"], window):
                             bucket = content_hash(b"%d %d " % (w["minimiser"], reach) + packed[core])
-                            rows.append((bucket, w["string"], packed[k : k + n + window - 1], k, n))
+                            rows.append((bucket, w["minimiser"], w["string"], packed[k : k + n + window - 1], k, n))
                 if rows:
                     yield arrow_rows(schema, list(zip(*rows, strict=True)))
 
-    packed = sources.mapInArrow(pack, "bucket long, string long, bytes binary, base int, windows int")
-    inside = materialise(_shard_repeats(packed, window, parts), "inside")
+    packed = sources.mapInArrow(pack, "bucket long, minimiser long, string long, bytes binary, base int, windows int")
+    packed = materialise(packed.withColumn("part", F.xxhash64("bytes")), "packed")
+    met = materialise(packed.groupBy("bucket", "part").agg(F.count("*").alias("met")), "met")
+    shards = packed.select("bucket", "part", "bytes", "windows").dropDuplicates(["bucket", "part"])
+    inside = materialise(_shard_repeats(shards, window, parts), "inside")
+    named = packed.select("bucket", "part", "minimiser", "string", "base", "windows").join(met, ["bucket", "part"])
+    again = named.where("met > 1").select("minimiser", "string", F.col("base").alias("at"), "windows")
+    flagged = named.where("met = 1").drop("windows").join(inside, ["bucket", "part"])
+    flagged = flagged.select("minimiser", "string", (F.col("base") + F.col("at")).cast("int").alias("at"), "windows")
+    repeated = materialise(again.unionByName(flagged), "repeated")
+    free(packed, met, inside)
     whole = pieces.join(twice, ["minimiser", "string"]).select("row_key", "start", "windows")
-    once = pieces.join(travels.where("times = 1").select("minimiser", "string"), ["minimiser", "string"]).select("row_key", "start", "string")
-    partly = once.join(inside, "string").select("row_key", (F.col("start") + F.col("at")).cast("int").alias("start"), "windows")
-    return whole.unionByName(partly)
+    once = pieces.join(travels.where("times = 1").select("minimiser", "string"), ["minimiser", "string"]).select("row_key", "start", "minimiser", "string")
+    partly = once.join(repeated, ["minimiser", "string"]).select("row_key", (F.col("start") + F.col("at")).cast("int").alias("start"), repeated["windows"])
+    out = materialise(whole.unionByName(partly), "windows")
+    free(pieces, known, repeated)
+    return out
 
 
 def remove_byte_repeats(
