@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NULL_ID, arrow_rows, hash_words, materialise, sequence_hashes, text_slices, with_key, words_of
+from weftline.llm.common import NULL_ID, arrow_rows, free, hash_words, materialise, sequence_hashes, text_slices, with_key, words_of
 from weftline.llm.super_kmers import content_hash, covered, flag_runs, runs, stretches
 
 WINDOW, GRAM = 50, 6
@@ -120,9 +120,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
     seen = pieces.groupBy("minimiser", "string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("row_key", "doc_id").alias("owner"))
     strings = materialise(seen, "strings")
     groups = strings.groupBy("minimiser").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("different")).where("least < most")
-    known = materialise(strings.join(groups, "minimiser"), "groups")
-    alike = known.where("different = 1").select("minimiser", "string", "first")
-    mixed = known.where("different > 1")
+    met = materialise(strings.join(groups, "minimiser"), "groups")
+    free(strings)
+    alike = met.where("different = 1").select("minimiser", "string", "first")
+    mixed = met.where("different > 1")
 
     # One document of each string that must travel; it sends the words.
     wanted = mixed.select(F.col("owner").alias("row_key"), "minimiser", "string", "first", "different")
@@ -163,6 +164,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
     firsts_of = known.where("least = first").select("string", "base", stretch.alias("stretch")).join(inside, "stretch")
     firsts_of = firsts_of.select("string", (F.col("base") + F.col("at")).cast("int").alias("at"), "windows", "first")
     firsts = materialise(repeated.unionByName(firsts_of), "firsts")
+    free(packed, parts_once)
 
     span = F.array(F.struct("start", "windows")).alias("spans")
     whole = pieces.join(alike, ["minimiser", "string"]).where("doc_id > first").select("row_key", span)
@@ -174,7 +176,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_strings: int =
     earlier = F.filter("found", lambda x: x["least"] < F.col("doc_id"))
     moved = F.transform(earlier, lambda x: F.struct((F.col("start") + x["at"]).cast("int").alias("start"), x["windows"].alias("windows")))
     parts_of = inner.select("row_key", moved.alias("spans")).where(F.size("spans") > 0)
-    return whole.unionByName(later).unionByName(parts_of)
+    out = materialise(whole.unionByName(later).unionByName(parts_of), "spans")
+    free(pieces, met, firsts)
+    return out
 
 
 def remove_repeats(
