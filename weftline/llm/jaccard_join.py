@@ -288,7 +288,8 @@ def jaccard_groups(
             if rows:
                 yield arrow_rows(schema, list(zip(*rows, strict=True)))
 
-    texts = source.join(left.select(F.col("doc_id").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
+    # Sorted and merged at every size, so that a small table tells how a large one goes.
+    texts = source.join(left.select(F.col("doc_id").alias("own")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
     rebuilt = texts.mapInArrow(rebuild, "node long, n long, tokens binary, first array<long>, second binary, third binary, bits array<long>")
     near = materialise(rebuilt.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near")
     free(left)

@@ -192,7 +192,8 @@ def remove_repeats(
     )
     source = with_key(own)
     spans = repeated_spans(source, window, bucket_strings).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = source.join(spans, "row_key", "left").select("doc_id", "text", "spans", *more)
+    # Sorted and merged at every size, so that a small table tells how a large one goes.
+    joined = source.join(spans.hint("merge"), "row_key", "left").select("doc_id", "text", "spans", *more)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])

@@ -159,7 +159,8 @@ def remove_byte_repeats(
     """doc_id, n_bytes, n_removed, spans (start, bytes) of what is removed, kept (binary)."""
     source = with_key(keyed(docs, id_col, text_col)).withColumn("text", F.col("text").cast("binary"))
     spans = repeated_windows(source, window, bucket_strings).groupBy("row_key").agg(F.collect_set(F.struct("start", "windows")).alias("found"))
-    joined = source.join(spans, "row_key", "left").select("doc_id", "text", "found")
+    # Sorted and merged at every size, so that a small table tells how a large one goes.
+    joined = source.join(spans.hint("merge"), "row_key", "left").select("doc_id", "text", "found")
     span = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
