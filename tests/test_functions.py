@@ -3,9 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import counts, text, times, urls
+from weftline.functions import comments, counts, text, times, urls
 from weftline.functions.ids import record_id, record_ids
-from weftline.operators import cutoff, merge, resolve, threads
+from weftline.operators import cutoff, merge, resolve, sink, threads
 from weftline.sources.html import nodes_of
 from weftline.sources.json_payload import first_json, stories_of
 
@@ -45,6 +45,48 @@ def test_absolute_time(spark, label, want):
     assert one(spark, lambda x: times.absolute_time(x, F.col("now")), label) == want
 
 
+def test_labels_that_only_contain_a_word(spark):
+    read = lambda label: one(spark, lambda x: times.relative_time(x, F.col("now")), label)
+    assert read("photo from today, 3h") == NOW - dt.timedelta(hours=3)
+    assert read("what happened today here") is None
+    assert read("yesterday") == NOW - dt.timedelta(days=1)
+    assert read("Yesterday at 5:03 PM") == dt.datetime(2024, 1, 31, 17, 3)
+    assert read("seen by Ann just now") == NOW
+
+
+def test_handles(spark):
+    for url, want in [
+        ("https://h/?id=5", None), ("https://h.example/Groups/x?id=5", "5"), ("https://h.example/J%C3%B6rg/", "Jörg"), ("https://h.example/a+b", "a+b"),
+        ("https://h.example/groups/1/user/99/", "99"), ("https://h.example/%zz", None), (None, None),
+    ]:
+        assert one(spark, urls.handle, url) == want
+
+
+def test_comment_bodies(spark):
+    names = F.array(F.lit("Ann Lee"))
+    assert one(spark, lambda x: comments.without_author_lines(x, names), "Ann Lee\nAnn Lee\nhello") == "hello"
+    assert one(spark, lambda x: comments.without_author_lines(x, names), "Ann Lee") == "Ann Lee"
+    assert one(spark, lambda x: comments.without_author_lines(x, names), None) is None
+    body = lambda blocks: one(spark, lambda x: comments.comment_body(x, names), blocks, "array<string>")
+    assert body(["Ann Lee", "so  true", "so true", "3h", None]) == "so true"
+    assert body(["Ann Lee", "Reply"]) is None and body([]) is None and body(None) is None
+    assert one(spark, comments.author_and_age, "Ann Lee 8 hours ago").asDict() == {"name": "Ann Lee", "age": "8 hours ago"}
+
+
+def test_upserts_survive_a_crash(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(x, "k int, v int, name string")
+    sink.write_upsert(rows((1, 1, "a"), (2, 1, "b")), path, "k", "v")
+    half = tmp_path / "store" / "generation-000000000001"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"half written")  # a delivery that died before its mark
+    last = sink.write_upsert(rows((2, 2, "c"), (3, 1, "d")), path, "k", "v")
+    assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    last = sink.write_upsert(rows((2, 2, "c")), path, "k", "v")
+    assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    assert len(sink.generations(spark, path)) == 2
+
+
 def test_resolved_time(spark):
     got = one(spark, lambda x: times.resolved_time(x, F.col("now")), ["hello", "2h", "9/8/2023"], "array<string>")
     assert (got["at"], got["approximated"]) == (dt.datetime(2023, 9, 8), False)

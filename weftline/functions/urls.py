@@ -43,10 +43,11 @@ def group_slug(url: Column) -> Column:
 
 
 def handle(url: Column) -> Column:
-    """Member id of a group link; else the first path segment, unless that is a feature, then the id parameter."""
-    member = F.nullif(F.regexp_extract(url, r"/groups/[^/]+/user/(\d+)", 1), F.lit(""))
-    first = path_segment(url, 1)
-    return F.coalesce(member, F.when(~first.isin(*RESERVED), first), query_value(url, "id"))
+    """Member id of a group link; else the first path segment, decoded, unless that is a feature: then the id parameter. Null without a path."""
+    member = F.nullif(F.regexp_extract(url, r"/groups/[^/?#]+/user/(\d+)", 1), F.lit(""))
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/+([^/?#]+)", 1)
+    name = F.when(F.lower(path).isin(*RESERVED), query_value(url, "id")).otherwise(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+    return F.coalesce(member, F.when(path != "", name))
 
 
 def comment_parent(url: Column) -> Column:

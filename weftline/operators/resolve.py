@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +19,55 @@ def heads_of(stories: DataFrame, id_col: str, text_col: str, least: int = 20, si
     return one.where("id = other").drop("other")
 
 
+GRAM, LEAST_HEAD = 8, 20  # letters; a head's first LEAST_HEAD letters name it
+
+
+def _minimisers(text: str) -> np.ndarray:
+    """The distinct least hashes of GRAM letters over all stretches of LEAST_HEAD letters; none if the text is shorter."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(letters) < LEAST_HEAD:
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        hashes = np.zeros(len(letters) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + letters[k : k + len(hashes)]
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+    least, width = hashes, 1
+    while width < LEAST_HEAD - GRAM + 1:
+        step = min(width, LEAST_HEAD - GRAM + 1 - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return np.unique(least).view(np.int64)
+
+
+def _by_minimiser(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, minimiser: each of a text once."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_minimisers(x) for x in batch.column(1).to_pylist()]
+            if sum(map(len, found)):
+                where = np.repeat(np.arange(len(found)), list(map(len, found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(np.concatenate(found))], names=[key, "minimiser"])
+
+    return rows.where(F.length(text) >= LEAST_HEAD).select(key, text).mapInArrow(run, f"{key} {kind}, minimiser long")
+
+
 def contained_heads(units: DataFrame, id_col: str, text_col: str, heads: DataFrame, size: int = 40) -> DataFrame:
-    """unit, id: the one story whose head stands somewhere in the unit's skeleton.
+    """unit, id: the one story whose head stands somewhere in the unit's skeleton. Units that contain heads of several have no match.
 
-    An equi-join, not a search of all pairs: whole heads meet the unit's windows of that size that begin with a
-    head's first letters. Heads shorter than `size` are compared by their own lengths. Units that contain heads
-    of several stories have no match.
+    No search of all pairs: where a head stands, its first letters are a stretch of the unit, and both have the same
+    minimiser. A unit sends its minimisers only, about one for seven letters; pairs that meet are verified by `contains`.
+    Null texts have no match; heads are 20 letters long or longer, as `heads_of` makes them, and count up to `size` letters.
     """
-    starts = units.select(F.col(id_col).alias("unit"), skeleton(F.col(text_col)).alias("bare"))
-    windows = F.sequence(F.lit(1), F.greatest(F.length("bare") - size + 1, F.lit(1)))
-    exploded = starts.where(F.length("bare") > 0).select("unit", F.explode(F.array_distinct(F.transform(windows, lambda i: F.substr("bare", i, F.lit(size))))).alias("head"))
-    met = exploded.join(heads.where(F.length("head") == size), "head").select("unit", "id")
-    short = heads.where(F.length("head") < size)
-    parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("bare") - F.col("size") + 1, F.lit(1))), lambda i: F.substr("bare", i, F.col("size")))))
-    sizes = short.select(F.length("head").alias("size")).distinct()  # at most `size` rows
-    few = starts.join(F.broadcast(sizes), F.length("bare") >= F.col("size")).select("unit", parts.alias("head")).join(short, "head").select("unit", "id")
-    found = met.unionByName(few).groupBy("unit").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    bare = units.select(F.col(id_col).alias("unit"), skeleton(F.col(text_col)).alias("bare"))
+    named = heads.select(F.left("head", F.lit(size)).alias("head"), "id", F.left("head", F.lit(LEAST_HEAD)).alias("start"))
+    keys = _by_minimiser(named.select("start").distinct(), "start", "start")
+    met = _by_minimiser(bare, "unit", "bare").join(keys, "minimiser").select("unit", "start").distinct().join(named, "start")
+    inside = bare.join(met, "unit").where(F.contains("bare", "head"))
+    found = inside.groupBy("unit").agg(F.min("id").alias("id"), F.max("id").alias("other"))
     return found.where("id = other").drop("other")
 
 

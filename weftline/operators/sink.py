@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,23 +13,40 @@ def upserted(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataF
     return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "is_new")).alias("row")).select("row.*")
 
 
-def write_upsert(new: DataFrame, path: str, key: str, version: str) -> str:
-    """Writes a new generation of the table below `path` and returns its folder; readers keep the old one till then."""
+def generations(spark: SparkSession, path: str) -> list[str]:
+    """The folders of all whole generations below `path`, oldest first. One whose write did not end has no mark and doesn't count."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(x.getPath().getParent().toString() for x in found or [])
+
+
+def write_upsert(new: DataFrame, path: str, key: str, version: str, keep: int = 2) -> str:
+    """Writes the next generation of the table below `path` and returns its folder.
+
+    A generation counts from the moment its write is marked as ended, so that a crash at any point leaves the one before;
+    what a crash left half written is written over. The newest `keep` generations stay for readers that have begun.
+    """
     spark = new.sparkSession
-    pointer = f"{path}/current"
-    try:
-        now = spark.read.text(pointer).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        now = None
-    rows = upserted(spark.read.parquet(now), new, key, version) if now else upserted(new.limit(0), new, key, version)
-    made = f"{path}/generation-{uuid.uuid4().hex}"
-    rows.write.parquet(made)
-    spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+    there = generations(spark, path)
+    rows = upserted(spark.read.parquet(there[-1]), new, key, version) if there else upserted(new.limit(0), new, key, version)
+    number = int(there[-1].rsplit("-", 1)[1]) + 1 if there else 0
+    made = f"{path}/generation-{number:012d}"
+    rows.write.mode("overwrite").parquet(made)
+    # For readers outside; what is stored is told by the marks alone, so that a crash here loses nothing.
+    spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    for old in there[: max(0, len(there) + 1 - keep)]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return made
 
 
+def held_back(undelivered: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("post_id", "group_key")) -> DataFrame:
+    """What waits for delivery: the new rows, and those that waited before but for the same keys (null keys are alike)."""
+    one = new.select(*(F.col(k).alias(f"new_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
+    return undelivered.join(one, same, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def envelope(records: DataFrame) -> DataFrame:
     """Records as JSON lines."""
     return records.select(F.to_json(F.struct("*")).alias("value"))

@@ -13,20 +13,31 @@ from weftline.sources.json_payload import json_content
 NOW = "2024-02-01 12:00:00"
 
 
-@query(r"""
-SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '[ \t\x{A0}]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest
-FROM documents
-""")
+# SQL of a column `text` with white space as `normalized_space` leaves it.
+NORMALIZED = r"""trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '[ \t\x{A0}]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query(f"SELECT doc_id, md5({NORMALIZED}) AS digest FROM documents")
 def normalize_ws(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized_space(F.col("text"))).alias("digest"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(trim(line), '(?i)^(like|share|comments?|newest|all comments|[\d.,]+\s*[km]?)$')) AS chrome FROM l GROUP BY 1
+# One line of page furniture of each kind, and lines that are none.
+LINE_FORMS = (
+    "Haha", "Shares", "View previous comments", "Write a public comment…", "All reactions:", "Top contributor", "3 comments · 4 shares", "12.5K", "Just now",
+    "2 hours ago", "5 weeks", "· ·", "Public", "This content isn't available right now", "When this happens, it's usually because the owner moved it",
+    "hello there", "5 apples", "public house", "yesterday at noon", "12 Kilo",
+)
+_LINES = ", ".join("'" + x.replace("'", "''") + "'" for x in LINE_FORMS)
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || [{_LINES}][doc_id % {len(LINE_FORMS)} + 1], chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE {" OR ".join(f"regexp_matches(trim(line), '(?i){x}')" for x in text.CHROME_LINES)}) AS chrome FROM l GROUP BY 1
 """)
 def strip_chrome(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    form = F.element_at(F.array(*map(F.lit, LINE_FORMS)), (F.col("doc_id") % len(LINE_FORMS) + 1).cast("int"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat("text", F.lit("\n"), form), "\n", -1)).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(text.is_chrome_line(F.trim("line"))).alias("chrome"))
 
 
@@ -54,15 +65,17 @@ def parse_count(spark, sf_dir):
 
 
 @query(f"""
-SELECT event_id, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '{NOW}' - to_seconds((event_id % 50) * 3600)
-  WHEN event_id % 4 = 1 THEN TIMESTAMP '{NOW}' - to_seconds((event_id % 9) * 86400)
-  WHEN event_id % 4 = 2 THEN TIMESTAMP '{NOW}' - INTERVAL 1 HOUR ELSE TIMESTAMP '2024-01-31 17:03:00' END AS at FROM events
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN TIMESTAMP '{NOW}' - to_seconds((event_id % 50) * 3600)
+  WHEN 1 THEN TIMESTAMP '{NOW}' - to_seconds((event_id % 9) * 86400)
+  WHEN 2 THEN TIMESTAMP '{NOW}' - INTERVAL 1 HOUR WHEN 3 THEN TIMESTAMP '2024-01-31 17:03:00'
+  WHEN 4 THEN TIMESTAMP '{NOW}' - INTERVAL 24 HOUR WHEN 5 THEN TIMESTAMP '{NOW}' - INTERVAL 3 HOUR WHEN 6 THEN TIMESTAMP '{NOW}' END AS at FROM events
 """)
 def relative_time(spark, sf_dir):
     n = F.col("event_id")
     label = (
-        F.when(n % 4 == 0, F.concat((n % 50).cast("string"), F.lit("h"))).when(n % 4 == 1, F.concat(F.lit("about "), (n % 9).cast("string"), F.lit(" days ago")))
-        .when(n % 4 == 2, F.lit("an hour ago")).otherwise(F.lit("Yesterday at 5:03 PM"))
+        F.when(n % 8 == 0, F.concat((n % 50).cast("string"), F.lit("h"))).when(n % 8 == 1, F.concat(F.lit("about "), (n % 9).cast("string"), F.lit(" days ago")))
+        .when(n % 8 == 2, F.lit("an hour ago")).when(n % 8 == 3, F.lit("Yesterday at 5:03 PM")).when(n % 8 == 4, F.lit("yesterday"))
+        .when(n % 8 == 5, F.lit("photo from today, 3h")).when(n % 8 == 6, F.lit("Just now")).otherwise(F.lit("what happened today here"))
     )
     return table(spark, sf_dir, "events").select("event_id", times.relative_time(label, F.lit(NOW).cast("timestamp")).alias("at"))
 
@@ -89,9 +102,17 @@ def clean_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.clean_url(F.col("url")).alias("clean"))
 
 
-@query(r"SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1), '') AS handle, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
+@query(r"""
+SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1), '') AS handle, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
+  CASE page_id % 5 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN 'Jörg+' || page_id WHEN 2 THEN CAST(page_id AS VARCHAR) END AS other FROM pages
+""")
 def url_handle(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.handle(F.col("url")).alias("handle"), urls.query_value(F.col("url"), "page").alias("page"))
+    key = F.col("page_id").cast("string")
+    other = (
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://h.example/Profile.php?id="), key)).when(F.col("page_id") % 5 == 1, F.concat(F.lit("https://h.example/J%C3%B6rg+"), key, F.lit("/")))
+        .when(F.col("page_id") % 5 == 2, F.concat(F.lit("https://h.example/groups/9/user/"), key)).when(F.col("page_id") % 5 == 3, F.concat(F.lit("https://h.example/?id="), key))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", urls.handle(F.col("url")).alias("handle"), urls.query_value(F.col("url"), "page").alias("page"), urls.handle(other).alias("other"))
 
 
 @query(r"""

@@ -103,3 +103,9 @@ def block_text(nodes: DataFrame, tags: tuple[str, ...] = tuple(sorted(BLOCKS)))
     text = lambda x: F.array_join(F.slice("runs", x["first"] + 1, x["after"] - x["first"]), " ")
     found = F.transform("blocks", lambda x: F.struct(x["pre"].alias("start"), x["tag"].alias("tag"), text(x).alias("text")))
     return pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
+
+
+def titles(nodes: DataFrame) -> DataFrame:
+    """page_id, title: the text of a page's first title node, white space made single; pages without one are left out."""
+    first = nodes.where("tag = 'title'").groupBy("page_id").agg(F.min_by("own_text", "pre").alias("title"))
+    return first.select("page_id", F.trim(F.regexp_replace("title", r"\s+", " ")).alias("title"))
