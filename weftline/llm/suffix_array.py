@@ -24,8 +24,10 @@ def _places(chars: np.ndarray, pointer: np.ndarray, sign: int) -> tuple[np.ndarr
     """Where items of these characters land, in order; the characters met and how many of each."""
     order = np.argsort(chars, kind="stable")
     kinds = chars[order]
-    heads = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    counts = np.diff(np.r_[heads, len(kinds)])
+    change = np.flatnonzero(kinds[1:] != kinds[:-1])
+    edges = np.empty(len(change) + 2, np.int64)
+    edges[0], edges[1:-1], edges[-1] = 0, change + 1, len(kinds)
+    heads, counts = edges[:-1], edges[1:] - edges[:-1]
     within = np.arange(len(kinds)) - np.repeat(heads, counts)
     out = np.empty(len(chars), np.int64)
     out[order] = pointer[kinds] + sign * within
