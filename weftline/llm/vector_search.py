@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product: inverted lists of product-quantised residuals, reranked exactly.
 
 1. On the driver, coarse centroids and the codebooks of the residuals' parts are fitted by k-means on a bounded
-   sample (at most about `sample_rows` vectors, drawn by hash). On that sample also the number of lists to
+   sample (at most about `sample_rows` vectors, drawn by hash). There are about as many lists as the root of the
+   number of rows, `lists` at least and one for eight vectors of the sample at most. On that sample also the number of lists to
    probe is measured: the least at which the probed lists hold `target` of the true neighbours.
 2. Every vector goes to the list of its nearest centroid, as one byte a part. Lists are dealt into blocks of
-   about `block_rows` rows by hash, so that a hot list spreads over tasks.
+   about `block_rows` rows by hash, and each block meets a copy of its list's queries, so that a hot list spreads over tasks.
 3. A query goes to its lists of largest inner product with the centroid, as many as measured and at least as
    many as hold k rows. In a block its distance tables score the codes; the best `rerank` of the block are scored again on
    the original vectors in double precision. The best k of all blocks are its answer.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import arrow_rows, materialise
 
 SAMPLE_ROWS, LISTS, PARTS, CODES = 8_000, 64, 16, 256
-BLOCK_ROWS, RERANK, TARGET = 4_000, 100, 0.97
+BLOCK_ROWS, RERANK, TARGET = 4_000, 200, 0.97
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -76,7 +77,8 @@ def fit(sample: np.ndarray, lists: int = LISTS, parts: int = PARTS, target: floa
     rest = sample - centroids[nearest(sample, centroids)]
     cuts = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
     books = [kmeans(rest[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)]
-    asked = sample[:: max(1, len(sample) // 400)]
+    kinds = np.unique(sample, axis=0)  # copies find each other in any case and would hide what others need
+    asked = kinds[:: max(1, len(kinds) // 400)]
     scores = asked @ sample.T
     best = np.argsort(-scores, axis=1)[:, 1 : k + 1]
     place = np.empty((len(asked), len(centroids)), int)
@@ -116,7 +118,7 @@ def search(
     sample = _matrix(drawn.column("v").combine_chunks()) if drawn.num_rows else np.zeros((0, sizes[0]["n"]))
     if not len(sample):
         sample = np.zeros((1, sizes[0]["n"]))
-    index = fit(sample[np.lexsort(sample.T[:2])], lists, parts, target, k)
+    index = fit(sample[np.lexsort(sample.T[:2])], max(lists, round(total**0.5)), parts, target, k)
     count = len(index.centroids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +148,14 @@ def search(
                 yield arrow_rows(schema, list(zip(*out, strict=True)))
 
     asked = indexed.where(is_query).select("vec_id", "v").mapInArrow(probe, "query_id long, list int, q binary")
-    parts_of = F.create_map(*[x for i in range(count) for x in (F.lit(i), F.lit(int(blocks[i])))])
-    # A block of queries meets a block of rows. Blocks of rows are packed once; each gets the queries of its list.
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), parts_of[F.col("list")])
-    packed = indexed.withColumn("block", block).groupBy("list", "block").agg(
-        F.collect_list(F.struct("vec_id", "v", "codes")).alias("rows")
-    )
+    parts_of = F.get(F.lit(blocks.tolist()), F.col("list"))
+    # Blocks of rows are packed once; each gets a copy of its list's queries.
+    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), parts_of).cast("int")
+    packed = indexed.withColumn("block", block).groupBy("list", "block").agg(F.collect_list(F.struct("vec_id", "v", "codes")).alias("rows"))
     turns = F.pmod(F.xxhash64("query_id"), F.lit(max(1, total // 40_000)))
     sets = asked.withColumn("turn", turns).groupBy("list", "turn").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    met = packed.join(sets.hint("shuffle_hash"), "list").select("list", "rows", "queries")
+    copies = sets.withColumn("block", F.explode(F.sequence(F.lit(0), parts_of.cast("int") - 1)))
+    met = packed.join(copies.hint("shuffle_hash"), ["list", "block"]).select("list", "rows", "queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -180,9 +181,8 @@ def search(
                         least = -np.partition(-near, rerank - 1, axis=1)[:, rerank - 1]
                     for row in range(len(some)):
                         chosen = np.arange(len(ids))
-                        if len(ids) > rerank:
-                            above, equal = np.flatnonzero(near[row] > least[row]), np.flatnonzero(near[row] == least[row])
-                            chosen = np.r_[above, equal[: rerank - len(above)]]
+                        if len(ids) > rerank:  # with all that score as the last one of them
+                            chosen = np.flatnonzero(near[row] >= least[row])
                         chosen = chosen[ids[chosen] != names[row]]
                         exact = vectors[chosen] @ some[row]
                         best = np.lexsort((ids[chosen], -exact))[:k]
