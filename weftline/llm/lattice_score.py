@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_rows, materialise
+from weftline.llm.common import arrow_rows, free, materialise
 
 CHUNK_BYTES = 16_000_000
 END = b""  # no word is empty
@@ -325,7 +325,9 @@ def estimate(lexicon: DataFrame, lattice: Lattice, steps: int = STEPS) -> Lattic
 def score_texts(
     docs: DataFrame, vocabulary_path: str, learns: Column, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS
 ) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, vocabulary, strength, base_score, score: log10 probabilities of each whole text.
+    """doc_id, n_tokens, n_known, train_tokens, vocabulary, strength, base_score, score, lattice_score: log10 probabilities of each whole text.
+
+    lattice_score: that of its words' lattices alone, without the lexicon of known words and repeats of the text's own words.
 
     learns: which rows are learned from.
     """
@@ -339,45 +341,47 @@ def score_texts(
     lattice = estimate(lexicon, from_existing(vocabulary_path), steps if total else 0)
 
     def solve(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-        parts = lattice.log_probabilities(words)
+        parts = pieces = lattice.log_probabilities(words)
         if total:
             rest = parts + np.log(discount * kinds / total)
             own = np.log(np.maximum(counts - discount, 1e-300) / total)
             parts = np.where(counts > 0, np.logaddexp(own, rest), rest)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts), pa.array(parts)], names=["word", "c", "p"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts), pa.array(parts), pa.array(pieces)], names=["word", "c", "p", "q"])
 
-    known = _by_words(lexicon, solve, "word binary, c long, p double")
+    known = _by_words(lexicon, solve, "word binary, c long, p double, q double")
     asked = _listed(chunks).select("word", "chunk", "at")
-    answers = asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "p")).alias("answers"))
+    answers = asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "c", "p", "q")).alias("answers"))
     joined = chunks.select("chunk", "doc_ids", "has_ids", "learned", "sizes", "tokens").join(answers, "chunk").drop("chunk")
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("doc_id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-            ("base_score", pa.float64()), ("scores", pa.list_(pa.float64())),
+            ("base_score", pa.float64()), ("lattice_score", pa.float64()), ("scores", pa.list_(pa.float64())),
         ])
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, has, learned, sizes, tokens = (batch.column(j)[k].as_py() for j in range(5))
                 given = batch.column(5)[k].values
                 at = given.field("at").to_numpy()
-                c, p = np.zeros(len(at), np.int64), np.zeros(len(at))
-                c[at], p[at] = given.field("c").to_numpy(), given.field("p").to_numpy()
+                c, p, q = np.zeros(len(at), np.int64), np.zeros(len(at)), np.zeros(len(at))
+                c[at], p[at], q[at] = given.field("c").to_numpy(), given.field("p").to_numpy(), given.field("q").to_numpy()
                 ids, size = _unpacked(tokens).astype(np.int64), np.frombuffer(sizes, "<i8")
                 firsts = np.cumsum(size) - size
                 base = np.add.reduceat(np.log10(c + 1.0)[ids], firsts) - size * np.log10(total + kinds + 1.0)
                 scores = with_repeats(ids, size, p, STRENGTHS).T / np.log(10)
+                pieces = np.add.reduceat(q[ids], firsts) / np.log(10)
                 seen = np.add.reduceat((c > 0).astype(np.int64)[ids], firsts)
                 names = [i if there else None for i, there in zip(np.frombuffer(doc_ids, "<i8").tolist(), has, strict=True)]
-                yield arrow_rows(schema, [names, np.frombuffer(learned, np.uint8).astype(bool), size, seen, base, list(scores)])
+                yield arrow_rows(schema, [names, np.frombuffer(learned, np.uint8).astype(bool), size, seen, base, pieces, list(scores)])
 
-    kind = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, scores array<double>"
+    kind = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, lattice_score double, scores array<double>"
     scored = materialise(joined.mapInArrow(sum_up, kind), "scored")
+    free(chunks, lexicon)
     sums = scored.where("learned").agg(*(F.sum(F.round(F.col("scores")[k], 3).cast("decimal(38,3)")) for k in range(len(STRENGTHS)))).first()
     best = max(range(len(STRENGTHS)), key=lambda k: (sums[k] if sums[k] is not None else 0, k))
     return scored.select(
         "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.lit(kinds).cast("long").alias("vocabulary"),
-        F.lit(STRENGTHS[best]).alias("strength"), "base_score", F.col("scores")[best].alias("score"),
+        F.lit(STRENGTHS[best]).alias("strength"), "base_score", F.col("scores")[best].alias("score"), "lattice_score",
     )
 
 
@@ -388,5 +392,5 @@ def op1_lattice_score(spark, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     out = score_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), rest != 2)
     return out.select(
-        "doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"
     )
