@@ -46,3 +46,27 @@ def test_like_tree_walk(spark):
     pages = [(i, markup(t)) for i, t in trees.items()]
     assert found(spark, pages) == {i: blocks(t, BLOCKS) for i, t in trees.items()}
     assert found(spark, pages, tags=("b", "h2")) == {i: blocks(t, ("b", "h2")) for i, t in trees.items()}
+
+
+def test_records_of_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.posts import comment_rows, read_units, records
+
+    nested = '<div role="article"><h3>Ann Lee</h3><p>a post about something</p><div role="article" aria-label="Comment by Bo"><p>first</p>'
+    nested += '<div role="article" aria-label="Comment by Cy"><p>a reply</p></div></div><div role="article" aria-label="Comment by Di"></div></div>'
+    pages = [
+        (1, nested, "https://h.example/groups/7/"), (2, "<p>no article</p>", None), (3, None, None), (4, '<div role="article"></div>', None),
+        (5, '<div role="dialog"><div role="article"><p>opened above the feed</p></div></div>', None), (6, '<div role="article"><p>broken <b>x', "https://h.example/a"),
+        (6, None, None),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, html string, url string").repartition(3)
+    read = read_units(node_table(frame), frame.where("html is not null"), F.lit("2024-02-01").cast("timestamp"))
+    got = {r["page_id"]: r for r in records(read, cap=1).collect()}
+    assert set(got) == {1, 4, 6}
+    assert got[1]["author"]["name"] == "Ann Lee" and got[1]["caption"] == "a post about something"
+    assert [c["text"] for c in got[1]["comments"]] == ["first"] and not got[1]["comments_complete"]
+    assert {"comments:capped", "comments:dropped_without_text", "captureId:random"} <= set(got[1]["warnings"])
+    assert got[4]["caption"] is None and got[4]["record_id"] is None and got[4]["source_url"] is None
+    assert got[6]["caption"] == "broken x" and got[6]["source_url"] == "https://h.example/a"
+    assert sorted((r["author"], r["text"]) for r in comment_rows(read).collect()) == [("Bo", "first"), ("Cy", "a reply")]

@@ -19,9 +19,17 @@ NODE = T.ArrayType(
     .add("depth", T.IntegerType()).add("tag", T.StringType()).add("attrs", T.MapType(T.StringType(), T.StringType())).add("own_text", T.StringType())
     .add("first", T.IntegerType()).add("after", T.IntegerType())  # of the page's runs of text, those inside
     .add("runs", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("text", T.StringType())))
+    .add("unit", T.IntegerType())  # innermost node with role article around it, itself included
+    .add("top", T.IntegerType())  # outermost such node
+    .add("grand", T.IntegerType())  # the parent's parent
+    .add("kind", T.StringType())  # innermost of heading, control and dialog around it, itself included
 )
 
 
+HEADINGS = frozenset(("h2", "h3", "h4", "strong"))
+CONTROLS = frozenset(("button", "toolbar", "link"))
+
+
 class _Nodes(HTMLParser):
     """Tolerant: unclosed tags end with their parents, stray end tags count for nothing."""
 
@@ -45,7 +53,14 @@ class _Nodes(HTMLParser):
         while self.open and self.rows[self.open[-1]][5] in CLOSES.get(tag, ()) or self.open and tag in BLOCKS and self.rows[self.open[-1]][5] == "p":
             self._end()
         parent = self.open[-1] if self.open else None
-        self.rows.append([len(self.rows), parent, self._tick(), None, len(self.open), tag, {k: v or "" for k, v in attrs}, "", self.said, None, []])
+        known = {k: v or "" for k, v in attrs}
+        unit, top, grand, kind = (None, None, None, None) if parent is None else (self.rows[parent][11], self.rows[parent][12], self.rows[parent][1], self.rows[parent][14])
+        role = known.get("role", "").lower()
+        if role == "article":
+            unit = len(self.rows)
+            top = unit if top is None else top
+        kind = "dialog" if role == "dialog" else "control" if role in CONTROLS else "heading" if tag in HEADINGS else None if role == "article" and kind != "dialog" else kind
+        self.rows.append([len(self.rows), parent, self._tick(), None, len(self.open), tag, known, "", self.said, None, [], unit, top, grand, kind])
         self.run = None
         self.open.append(len(self.rows) - 1)
         if tag in VOID:
@@ -74,7 +89,7 @@ def nodes_of(html: str | None) -> list[tuple]:
     parser.close()
     while parser.open:
         parser._end()
-    return [(*r[:10], [tuple(x) for x in r[10]]) for r in parser.rows]
+    return [(*r[:10], [tuple(x) for x in r[10]], *r[11:]) for r in parser.rows]
 
 
 @F.udf(NODE, useArrow=True)
@@ -83,7 +98,7 @@ def parse_html(html: str) -> list[tuple]:
 
 
 def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, node, parent, pre, post, depth, tag, attrs, own_text, first, after, runs. Null or empty pages have no nodes."""
+    """page_id, node, parent, pre, post, depth, tag, attrs, own_text, first, after, runs, unit, top, grand, kind. Null or empty pages have no nodes."""
     return pages.select(F.col(id_col).alias("page_id"), F.explode(parse_html(html_col)).alias("x")).select("page_id", "x.*")
 
 
