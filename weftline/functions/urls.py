@@ -74,3 +74,17 @@ def post_id(urls: Column) -> Column:
         id_ = F.try_element_at(hits, F.lit(1))
         found.append(F.when(id_.isNotNull(), F.struct(id_.alias("id"), F.lit(number).alias("pattern"))))
     return F.coalesce(*found)
+
+
+def is_group_feed(url: Column, host: str) -> Column:
+    """Whether a link on that host (a pattern of its end) is a group's feed: under /groups/, and no post's own page."""
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    fine = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)).rlike(rf"(^|\.)(?:{host})$")
+    post = path.rlike(r"/(?:posts|permalink)/") | F.contains(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("multi_permalinks="))
+    return F.coalesce(fine & F.contains(path, F.lit("/groups/")) & ~post, F.lit(False))
+
+
+def group_name(title: Column, site: str) -> Column:
+    """A group's name from its page's title: without the site's name at the end and a count of news in front."""
+    bare = F.trim(F.regexp_replace(title, r"\s+", " "))
+    return F.nullif(F.regexp_replace(F.regexp_replace(bare, rf"(?i)\s*\|\s*{site}$", ""), r"^\(\d+\+?\)\s*", ""), F.lit(""))

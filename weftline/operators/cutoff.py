@@ -33,3 +33,16 @@ def until_streak(rows: DataFrame, run: str, position: str, at: str, cutoff: Colu
     counted = marked.withColumn("streak", F.sum(F.col("old").cast("int")).over(island))
     stopped = counted.withColumn("stopped", F.max((F.col("streak") >= streak).cast("int")).over(order))
     return stopped.where("stopped = 0 and not old").drop("old", "island", "streak", "stopped")
+
+
+def until_stagnant(rounds: DataFrame, run: str, turn: str, size: str, most: int = 2) -> DataFrame:
+    """Of each run the rounds up to the one that ends it: the last of `most` rounds in a row that brought nothing new.
+
+    A run is a thread's walk: its rounds are few. Null sizes bring nothing new. Turns are unique in a run.
+    """
+    order = Window.partitionBy(run).orderBy(turn)
+    top = F.coalesce(F.max(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    still = rounds.withColumn("still", (F.coalesce(F.col(size), F.lit(-1)) <= top) & (F.row_number().over(order) > 1))
+    ended = F.min(F.when(F.col("quiet") >= most, F.col(turn))).over(Window.partitionBy(run))
+    quiet = still.withColumn("quiet", F.when(F.count("*").over(order.rowsBetween(1 - most, 0)) == most, F.sum(F.col("still").cast("int")).over(order.rowsBetween(1 - most, 0))))
+    return quiet.withColumn("ended", ended).where(F.col("ended").isNull() | (F.col(turn) <= F.col("ended"))).drop("still", "quiet", "ended")

@@ -80,3 +80,13 @@ def merge_comments(rows: DataFrame, keys: Sequence[str], seq: str, position: str
     place = F.min(F.struct((F.col(seq) != F.col("lead")).cast("int").alias("behind"), F.col(seq), F.col(position)))
     merged = known.groupBy(*keys).agg(F.max(likes).alias(likes), first_known(date, seq).alias(date), place.alias("place"))
     return merged
+
+
+def adopted(entries: DataFrame, record: str, key: str, first_seen: str, truncated: str, hold: str) -> DataFrame:
+    """Entries found to be one record become one: the oldest key, the earliest time, truncated if any is, and the oldest hold.
+
+    Entries without a time count as the oldest; of equally old ones the smallest key. A hold is never lost.
+    """
+    age = F.struct(F.col(first_seen).isNotNull(), first_seen, key)
+    held = F.min_by(hold, F.when(F.col(hold).isNotNull(), age))
+    return entries.groupBy(record).agg(F.min_by(key, age).alias(key), F.min(first_seen).alias(first_seen), any_true(truncated).alias(truncated), held.alias(hold), F.count("*").alias("entries"))

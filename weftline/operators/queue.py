@@ -48,3 +48,27 @@ def accepted_prefix(results: DataFrame, batch: str, rejected: str) -> DataFrame:
     """Batches before the first one with rejects. The first is one number."""
     first = results.where(F.col(rejected) > 0).agg(F.min(batch).alias("stop"))
     return results.crossJoin(F.broadcast(first)).where(F.col("stop").isNull() | (F.col(batch) < F.col("stop"))).drop("stop")
+
+
+def newest(rows: DataFrame, key: str, seq: str, most: int, group: str | None = None) -> DataFrame:
+    """A bounded map or log: each key as it came first, and of these the `most` that came last (of each group, if there are some).
+
+    Without groups Spark takes the bound from sorted parts, not from one sort of all rows.
+    """
+    keys = [group, key] if group else [key]
+    once = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), seq).alias("row")).select("row.*")
+    if group is None:
+        return once.orderBy(F.desc(seq), key).limit(most)
+    order = Window.partitionBy(group).orderBy(F.desc(seq), key)
+    return once.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn")
+
+
+def fenced(writes: DataFrame, epochs: DataFrame, key: str, epoch: str) -> DataFrame:
+    """Writes begun in the epoch that still holds; a Clear raises a key's epoch. Keys that were never cleared are in epoch 0."""
+    now = epochs.groupBy(key).agg(F.max(epoch).alias("holds"))
+    return writes.join(now, key, "left").where(F.col(epoch) == F.coalesce("holds", F.lit(0))).drop("holds")
+
+
+def restarted(since: Column, *restarts: Column) -> Column:
+    """When a hold's clock began: at its start or the latest restart (a drain, a reload) after it. Null: nothing is held."""
+    return F.when(since.isNotNull(), F.greatest(since, *restarts)) if restarts else since

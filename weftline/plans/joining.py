@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.text import head_key, skeleton
-from weftline.operators import merge, queue, resolve, sink, status, threads
+from weftline.operators import cutoff, merge, queue, resolve, sink, status, threads
 from weftline.plans.registry import query, table
 
 
@@ -203,3 +203,54 @@ def status_rollup(spark, sf_dir):
     sums = rows.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("end"))
     clock = status.starts_new_clock(F.lit(False), F.col("a"), F.col("end"))
     return sums.select("user_id", F.round(status.phase_seconds(F.col("a"), F.col("b")), 3).alias("seconds"), "errors", clock.alias("new_clock"))
+
+
+@query("""
+WITH e AS (SELECT o_custkey AS record, o_orderkey AS key, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS seen, o_orderstatus = 'P' AS cut, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS hold FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY seen NULLS FIRST, key) AS n FROM e)
+SELECT record, max(CASE WHEN n = 1 THEN key END) AS key, min(seen) AS seen, bool_or(cut) AS cut, arg_min(hold, n) FILTER (WHERE hold IS NOT NULL) AS hold, count(*) AS entries FROM r GROUP BY 1
+""")
+def adopted_entries(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("record"), key.alias("key"), F.when(key % 11 != 0, F.col("o_orderdate")).alias("seen"), (F.col("o_orderstatus") == "P").alias("cut"), F.when(key % 4 == 0, key).alias("hold")
+    )
+    return merge.adopted(rows, "record", "key", "seen", "cut", "hold")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, min(event_id) AS seq FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, seq FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 2
+""")
+def bounded_log(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("seq"))
+    return queue.newest(rows, "event_type", "seq", 2, "user_id")
+
+
+@query("""
+WITH n AS (SELECT o_custkey, max(o_orderkey % 3) AS epoch FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT o_orderkey, o.o_custkey, o_orderkey % 3 AS epoch FROM orders o LEFT JOIN n ON o.o_custkey = n.o_custkey WHERE o_orderkey % 3 = coalesce(n.epoch, 0)
+""")
+def fenced_writes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("epoch"), "o_orderstatus")
+    return queue.fenced(rows.drop("o_orderstatus"), rows.where("o_orderstatus = 'P'").select("o_custkey", "epoch"), "o_custkey", "epoch")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN greatest(o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '1997-01-01' ELSE o_orderdate END) END::TIMESTAMP AS since FROM orders
+""")
+def restarted_clocks(spark, sf_dir):
+    since = F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate").cast("timestamp"))
+    drain = F.when(F.col("o_orderkey") % 2 == 0, F.lit("1997-01-01").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", queue.restarted(since, drain).alias("since"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2),
+r AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER w AS n, coalesce(l_quantity <= max(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS still FROM t WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+e AS (SELECT a.l_orderkey, min(a.l_linenumber) AS ended FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND b.n = a.n - 1 WHERE a.still AND b.still GROUP BY 1)
+SELECT r.l_orderkey, l_linenumber, l_quantity FROM r LEFT JOIN e ON r.l_orderkey = e.l_orderkey WHERE ended IS NULL OR l_linenumber <= ended
+""")
+def stagnant_rounds(spark, sf_dir):
+    rounds = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    return cutoff.until_stagnant(rounds, "l_orderkey", "l_linenumber", "l_quantity")

@@ -12,6 +12,7 @@ from weftline.operators import sink
 from weftline.plans.registry import query, table
 from weftline.plans.text_queries import NORMALIZED
 from weftline.sources.html import node_table, titles
+from weftline.sources.json_payload import best_id, id_hits
 
 # label, whether it reads as a time, its candidates
 TIME_FORMS = (
@@ -165,3 +166,35 @@ def retry_turns(spark, sf_dir):
     error = F.when(F.col("o_orderstatus") == "F", F.lit("timeout"))
     again = should_retry(error, F.when(key % 3 != 0, F.lit(4)), key % 5)
     return table(spark, sf_dir, "orders").select("o_orderkey", (key % 5).alias("attempts"), again.alias("again"))
+
+
+@query("""
+SELECT s_suppkey, s_suppkey % 5 < 2 AS feed, s_name AS name FROM supplier
+""")
+def group_sources(spark, sf_dir):
+    key = F.col("s_suppkey")
+    host = F.when(key % 5 == 2, F.lit("not-h.example")).when(key % 5 == 1, F.lit("WWW.h.example")).otherwise(F.lit("h.example"))
+    rest = F.when(key % 5 == 3, F.lit("/posts/5/")).when(key % 5 == 4, F.lit("/?multi_permalinks=5")).otherwise(F.lit("?sorting=new"))
+    url = F.concat(F.lit("https://"), host, F.lit("/groups/"), key.cast("string"), rest)
+    title = F.concat(F.when(key % 2 == 0, F.lit("(20+) ")).otherwise(F.lit("(3)  ")), "s_name", F.lit(" | Site"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", urls.is_group_feed(url, r"h\.example").alias("feed"), urls.group_name(title, "Site").alias("name"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 3 THEN o_custkey + 1 WHEN 4 THEN o_orderkey END AS id FROM orders
+""")
+def payload_ids(spark, sf_dir):
+    """A strong key beats a weak one, other stories do not count; two ids under one key, another group or no JSON: no id."""
+    key, other = F.col("o_orderkey").cast("string"), (F.col("o_custkey") + 1).cast("string")
+    one = lambda k, v: F.concat(F.lit(f'"{k}":"'), v, F.lit('"'))
+    forms = [
+        F.concat(F.lit("{"), one("ftid", other), F.lit(',"a":{'), one("post_id", key), F.lit("}}")),
+        F.concat(F.lit("{"), one("post_id", key), F.lit(',"attached_story":{'), one("post_id", F.concat(F.lit("9"), other)), F.lit("}}")),
+        F.concat(F.lit('{"a":['), F.lit("{"), one("post_id", F.concat(F.lit("1"), key)), F.lit("},{"), one("post_id", F.concat(F.lit("2"), key)), F.lit("}]}")),
+        F.concat(F.lit('{"x":[{'), one("story_fbid", other), F.lit(',"url":"https://h.example/groups/7/posts/1"}]}')),
+        F.concat(F.lit("{"), one("post_id", key), F.lit(',"url":"https://h.example/groups/name/"}')),
+        F.concat(F.lit("{"), one("post_id", key), F.lit(',"url":"https://h.example/groups/8/"}')),
+    ]
+    text_ = F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", id_hits(text_).alias("found"))
+    return found.select("o_orderkey", best_id(F.col("found"), F.lit("7")).cast("long").alias("id"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.comments import FOREIGN_SEGMENTS
+
 STORY = T.ArrayType(
     T.StructType().add("story", T.StringType()).add("text", T.StringType()).add("author", T.StringType()).add("ord", T.IntegerType())
 )
@@ -42,8 +46,8 @@ def json_content(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.when(F.try_parse_json(text).isNull(), embedded_json(text))))
 
 
-def stories_of(text: str | None, depth: int = 48, most: int = 60_000) -> list[tuple]:
-    """(story, text, author, order): texts under the nearest enclosing object with a post_id, depth first."""
+def stories_of(text: str | None, depth: float = math.inf, most: float = math.inf) -> list[tuple]:
+    """(story, text, author, order): texts under the nearest enclosing object with a post_id, depth first. Bounds cut only where they are given."""
     try:
         root = json.loads(text or "null")
     except ValueError:
@@ -66,3 +70,54 @@ def stories_of(text: str | None, depth: int = 48, most: int = 60_000) -> list[tu
 @F.udf(STORY, useArrow=True)
 def walk_json(text: str) -> list[tuple]:
     return stories_of(text)
+
+
+# Keys whose values name a post, the strongest first.
+ID_KEYS = (
+    "post_id",
+    "postID",
+    "legacy_story_id",
+    "story_fbid",
+    "subscription_target_id",
+    "ftid",
+)
+HITS = T.StructType().add("hits", T.ArrayType(T.StructType().add("rank", T.IntegerType()).add("depth", T.IntegerType()).add("path", T.StringType()).add("value", T.StringType())))
+HITS = HITS.add("groups", T.ArrayType(T.StringType()))
+
+
+def named_ids(text: str | None) -> tuple[list[tuple], list[str]] | None:
+    """(hits, groups) of a JSON text: (rank, depth, path, value) of each id under a key that names posts, and the groups
+    of its links, outside of paths that lead to other stories or comments. Null for what is no JSON."""
+    try:
+        stack = [(json.loads(text or ""), (), False)]
+    except ValueError:
+        return None
+    hits, groups = [], set()
+    while stack:
+        value, path, foreign = stack.pop()
+        for key, child in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+            key = str(key)
+            away = foreign or key in FOREIGN_SEGMENTS
+            if not away and isinstance(child, str):
+                groups.update(re.findall(r"/groups/([^/?#\s\"]+)", child))
+            if not away and key in ID_KEYS and isinstance(child, (str, int)) and re.fullmatch(r"\d+|pfbid[A-Za-z0-9]+", str(child)):
+                hits.append((ID_KEYS.index(key), len(path), ".".join((*path, key)), str(child)))
+            if isinstance(child, (dict, list)):
+                stack.append((child, (*path, key), away))
+    return hits, sorted(groups)
+
+
+@F.udf(HITS, useArrow=True)
+def id_hits(text: str) -> tuple:
+    return named_ids(text)
+
+
+def best_id(found: Column, group: Column) -> Column:
+    """Of `id_hits`: the id of the best key, the shallowest and shortest path first. Null where that key names two ids, or where
+    groups of the own group's kind (number or name) are named and it is not among them."""
+    order = F.array_sort(F.transform(found["hits"], lambda h: F.struct(h["rank"], h["depth"].alias("depth"), F.length(h["path"]).alias("size"), h["value"].alias("value"))))
+    best = F.try_element_at(order, F.lit(1))
+    rivals = F.exists(found["hits"], lambda h: (h["rank"] == best["rank"]) & (h["value"] != best["value"]))
+    like = F.filter(found["groups"], lambda g: g.rlike(r"^\d+$") == group.rlike(r"^\d+$"))
+    elsewhere = F.coalesce((F.size(like) > 0) & ~F.array_contains(like, group), F.lit(False))
+    return F.when(~F.coalesce(rivals, F.lit(False)) & ~elsewhere, best["value"])
