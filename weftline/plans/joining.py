@@ -17,15 +17,15 @@ def skip_uploaded(spark, sf_dir):
 
 @query("""
 WITH k AS (SELECT s_suppkey, 1 AS p, lower(s_name) AS key FROM supplier UNION ALL SELECT s_suppkey, 2, lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-o AS (SELECT lower(n_name) AS key, n_nationkey AS value FROM nation UNION ALL SELECT lower(s_name), 1000 + s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+o AS (SELECT lower(n_name) AS key, n_nationkey AS value FROM nation UNION ALL SELECT lower(s_name), 1000 + s_suppkey FROM supplier WHERE s_acctbal < 0),
 u AS (SELECT key, min(value) AS value FROM o GROUP BY 1)
 SELECT s_suppkey, arg_min(value, p) AS value, min(p) AS priority FROM k JOIN u ON k.key = u.key GROUP BY 1
 """)
 def outlet_lookup(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    left = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    left = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     named = nation.select(F.lower("n_name").alias("key"), F.col("n_nationkey").cast("long").alias("value"))
-    own = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.lower("s_name"), F.col("s_suppkey") + 1_000)
+    own = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.lower("s_name"), F.col("s_suppkey") + 1_000)
     found = resolve.priority_lookup(left, "s_suppkey", [F.lower("s_name"), F.lower("n_name")], named.union(own), "key", "value")
     return found.select("s_suppkey", "value", (F.col("priority") + 1).alias("priority"))
 
@@ -130,12 +130,12 @@ def hold_release(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT conv_id, min(turn) AS first_turn FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0 GROUP BY 1)
+WITH p AS (SELECT conv_id, min(turn) AS first_turn FROM conversations WHERE role = 'user' AND length(text) > 60 GROUP BY 1)
 SELECT c.conv_id, c.turn, p.first_turn, p.conv_id IS NULL AS orphan FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id WHERE c.role = 'assistant'
 """)
 def late_parent_attach(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    parents = rows.where("role = 'user' and conv_id % 5 <> 0").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+    parents = rows.where("role = 'user' and length(text) > 60").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
     return threads.with_late_parents(rows.where("role = 'assistant'").select("conv_id", "turn"), parents, "conv_id")
 
 
