@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from weftline.llm.byte_bpe import op3_byte_bpe
+from weftline.llm.divergence import OP11_SQL, op11_source_divergence
 from weftline.llm.jaccard_join import op7_jaccard_join
 from weftline.llm.language_id import op6_language_id
 from weftline.llm.lattice_score import op1_lattice_score
 from weftline.llm.media import op10_media
+from weftline.llm.mixing import OP13_SQL, op13_source_mixing
 from weftline.llm.packing import op2_packing
 from weftline.llm.substring_dedup import op8_substring_dedup
 from weftline.llm.suffix_dedup import op9_suffix_dedup
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_media": op10_media,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_source_mixing": op13_source_mixing,
 }
-SQL = {"op5_url_filter": OP5_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op11_source_divergence": OP11_SQL, "op13_source_mixing": OP13_SQL}
