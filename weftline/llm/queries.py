@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.byte_bpe import op3_byte_bpe
 from weftline.llm.divergence import OP11_SQL, op11_source_divergence
+from weftline.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from weftline.llm.jaccard_join import op7_jaccard_join
 from weftline.llm.language_id import op6_language_id
 from weftline.llm.lattice_score import op1_lattice_score
@@ -27,6 +28,12 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_media": op10_media,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_mixing": op13_source_mixing,
 }
-SQL = {"op5_url_filter": OP5_SQL, "op11_source_divergence": OP11_SQL, "op13_source_mixing": OP13_SQL}
+SQL = {
+    "op5_url_filter": OP5_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_source_mixing": OP13_SQL,
+}
