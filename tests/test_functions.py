@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from weftline.functions import comments, counts, text, times, urls
 from weftline.functions.ids import record_id, record_ids
 from weftline.operators import cutoff, merge, resolve, sink, threads
-from weftline.sources.html import nodes_of
+from weftline.sources.html import page_of
 from weftline.sources.json_payload import first_json, stories_of
 
 NOW = dt.datetime(2024, 2, 1, 12, 0)
@@ -173,10 +173,10 @@ def test_thread_merge(spark):
 
 
 def test_pages_and_payloads():
-    nodes = nodes_of('<div class=a><p>one<b>two<p>three<br><li>x</div></i><img src="y">')
-    assert [n[5] for n in nodes] == ["div", "p", "b", "p", "br", "li", "img"]
-    assert all(n[2] < n[3] for n in nodes) and nodes[3][1] in (0, 2)
-    assert nodes_of(None) == []
+    nodes = page_of('<div class=a><p>one<b>two<p>three<br><li>x</div></i><img src="y">', "https://h.example/a/b?c")["nodes"]
+    assert [n["tag"] for n in nodes] == ["div", "p", "b", "p", "br", "li", "img"]
+    assert all(n["pre"] < n["post"] for n in nodes) and nodes[3]["parent"] in (0, 2) and nodes[6]["href"] == "https://h.example/a/y"
+    assert page_of(None) == {"nodes": [], "said": []}
     assert first_json('noise {"a": [1, 2]} tail') == '{"a":[1,2]}' and first_json("[1]") == "[1]" and first_json("{x") is None and first_json(None) is None
     text_ = '{"post_id": 1, "text": "a", "kids": [{"text": "b", "author_id": 7}, {"post_id": 2, "text": "c"}]}'
     assert stories_of(text_) == [("1", "a", None, 0), ("1", "b", "7", 1), ("2", "c", None, 2)]

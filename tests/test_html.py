@@ -1,72 +1,82 @@
 import random
+import re
+from urllib.parse import urljoin
 
-from weftline.sources.html import BLOCKS, block_text, node_table
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.functions import urls
+from weftline.sources.html import BLOCKS, BREAKS, VOID, block_text, joined
 
 
 def grown(rng, depth=0):
-    """A tree: (tag, children), children being trees or texts."""
-    tag = rng.choice(["div", "ul", "h2", "blockquote", "section", "b", "i", "a"]) if depth else "html"
-    kids = [grown(rng, depth + 1) if depth < 5 and rng.random() < 0.5 else f"t{rng.randint(0, 999)}" for _ in range(rng.randint(0, 4))]
-    return tag, [k for k, before in zip(kids, [None, *kids], strict=False) if not (isinstance(k, str) and isinstance(before, str))]
+    """A tree: (tag, hidden, children), children being trees or texts."""
+    tag = rng.choice(["div", "ul", "h2", "blockquote", "section", "b", "i", "a", "span", "br", "script", "figcaption"]) if depth else "html"
+    kids = [grown(rng, depth + 1) if depth < 5 and rng.random() < 0.6 else rng.choice([" ", "t", "\n two\t", "&nbsp;x ", "see more"]) for _ in range(rng.randint(0, 4))]
+    kids = [] if tag in VOID else ["x()"] if tag == "script" else kids
+    return tag, depth > 0 and rng.random() < 0.1, [k for k, before in zip(kids, [None, *kids], strict=False) if not (isinstance(k, str) and isinstance(before, str))]
 
 
 def markup(tree):
-    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(markup, tree[1]))}</{tree[0]}>"
+    if isinstance(tree, str):
+        return tree
+    return f"<{tree[0]}{' hidden' * tree[1]}>" + ("" if tree[0] in VOID else f"{''.join(map(markup, tree[2]))}</{tree[0]}>")
+
 
+def raw(tree):
+    """What a tree shows: its texts, with breaks around blocks; hidden parts and scripts show nothing."""
+    out = ""
+    for kid in tree[2]:
+        if isinstance(kid, str):
+            out += re.sub(r"\s+", " ", kid.replace("&nbsp;", " "))
+        else:
+            inner = "" if kid[1] or kid[0] == "script" else raw(kid)
+            out += f"\n{inner}\n" if kid[0] in BREAKS else inner
+    return out
 
-def texts(tree):
-    return [tree] if isinstance(tree, str) else [t for k in tree[1] for t in texts(k)]
 
+def shown(text):
+    lines = [line.strip() for line in re.sub("[ \t ]+", " ", text).split("\n")]
+    return re.sub(r"(?i)\s*see (?:more|less)\Z", "", re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip())
 
-def blocks(tree, tags):
+
+def blocks(tree, tags, seen=True):
     if isinstance(tree, str):
         return []
-    own = [(tree[0], " ".join(texts(tree)))] if tree[0] in tags else []
-    return own + [b for k in tree[1] for b in blocks(k, tags)]
+    seen = seen and not tree[1] and tree[0] != "script"
+    own = [(tree[0], shown(raw(tree)) if seen else "")] if tree[0] in tags else []
+    return own + [b for k in tree[2] for b in blocks(k, tags, seen)]
 
 
 def found(spark, pages, **options):
-    rows = block_text(node_table(spark.createDataFrame(pages, "page_id long, html string").repartition(3)), **options).collect()
+    rows = block_text(spark.createDataFrame(pages, "page_id long, html string").repartition(3), **options).collect()
     return {p: [(r["tag"], r["text"]) for r in sorted(rows, key=lambda r: r["start"]) if r["page_id"] == p] for p, _ in pages}
 
 
 def test_nested_and_trailing_text(spark):
     page = "<ul><li>intro <p>x</p> <b>tail</b></li><li>two</ul><div>a<br>b<!-- c -->&amp; c<table><td>d</table>e</div><p></p>out"
     got = found(spark, [(1, page), (2, None), (3, "<p>one")])
-    assert [(t, x.split()) for t, x in got[1]] == [
-        ("ul", ["intro", "x", "tail", "two"]), ("li", ["intro", "x", "tail"]), ("p", ["x"]), ("li", ["two"]),
-        ("div", ["a", "b&", "c", "d", "e"]), ("table", ["d"]), ("td", ["d"]), ("p", []),
+    assert got[1] == [
+        ("ul", "intro\nx\ntail\n\ntwo"), ("li", "intro\nx\ntail"), ("p", "x"), ("li", "two"), ("div", "a\n\nb& c\n\nd\n\ne"), ("table", "d"), ("td", "d"), ("p", ""),
     ]
     assert got[2] == [] and got[3] == [("p", "one")]
 
 
 def test_like_tree_walk(spark):
     rng = random.Random(5)
-    trees = {i: grown(rng) for i in range(40)}
+    trees = {i: grown(rng) for i in range(60)}
     pages = [(i, markup(t)) for i, t in trees.items()]
     assert found(spark, pages) == {i: blocks(t, BLOCKS) for i, t in trees.items()}
     assert found(spark, pages, tags=("b", "h2")) == {i: blocks(t, ("b", "h2")) for i, t in trees.items()}
 
 
-def test_records_of_odd_pages(spark):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("base", ["https://h.example/groups/7/?a=b#c", "http://h.example", "https://h.example/a/b.html"])
+def test_links_are_resolved(spark, base):
+    links = ["/x?y=1", "//other.example/z", "https://a.example/q#f", "?p=2", "#top", "leaf/two", "mailto:a@b.example"]
+    rows = spark.createDataFrame([(x, base) for x in links], "x string, b string").select("x", urls.resolved(F.col("x"), F.col("b")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in rows} == {x: urljoin(base, x) for x in links} == {x: joined(base, x) for x in links}
 
-    from weftline.operators.posts import comment_rows, read_units, records
 
-    nested = '<div role="article"><h3>Ann Lee</h3><p>a post about something</p><div role="article" aria-label="Comment by Bo"><p>first</p>'
-    nested += '<div role="article" aria-label="Comment by Cy"><p>a reply</p></div></div><div role="article" aria-label="Comment by Di"></div></div>'
-    pages = [
-        (1, nested, "https://h.example/groups/7/"), (2, "<p>no article</p>", None), (3, None, None), (4, '<div role="article"></div>', None),
-        (5, '<div role="dialog"><div role="article"><p>opened above the feed</p></div></div>', None), (6, '<div role="article"><p>broken <b>x', "https://h.example/a"),
-        (6, None, None),
-    ]
-    frame = spark.createDataFrame(pages, "page_id long, html string, url string").repartition(3)
-    read = read_units(node_table(frame), frame.where("html is not null"), F.lit("2024-02-01").cast("timestamp"))
-    got = {r["page_id"]: r for r in records(read, cap=1).collect()}
-    assert set(got) == {1, 4, 6}
-    assert got[1]["author"]["name"] == "Ann Lee" and got[1]["caption"] == "a post about something"
-    assert [c["text"] for c in got[1]["comments"]] == ["first"] and not got[1]["comments_complete"]
-    assert {"comments:capped", "comments:dropped_without_text", "captureId:random"} <= set(got[1]["warnings"])
-    assert got[4]["caption"] is None and got[4]["record_id"] is None and got[4]["source_url"] is None
-    assert got[6]["caption"] == "broken x" and got[6]["source_url"] == "https://h.example/a"
-    assert sorted((r["author"], r["text"]) for r in comment_rows(read).collect()) == [("Bo", "first"), ("Cy", "a reply")]
+def test_relative_links_are_cleaned(spark):
+    cleaned = urls.clean_url(F.lit("/groups/7/posts/5/?ref=x&a=1#c"), F.lit("https://h.example/groups/7/"))
+    assert spark.range(1).select(cleaned.alias("y")).first()["y"] == "https://h.example/groups/7/posts/5/?a=1"

@@ -18,8 +18,35 @@ RESERVED = (
 POST_ID = r"(?:\d+|pfbid[A-Za-z0-9]+)"
 
 
-def clean_url(url: Column) -> Column:
-    """Without tracking parameters and fragment; what does not look like a link stays as it is."""
+# The ids of posts in links, the strongest pattern first.
+POST_ID_PATTERNS = (
+    rf"/groups/[^/]+/(?:posts|permalink)/({POST_ID})",
+    rf"multi_permalinks=({POST_ID})",
+    rf"story_fbid=({POST_ID})",
+    r"[?&]set=gm\.(\d+)",
+    rf"/(?:videos|reel)/({POST_ID})",
+    rf"[?&]v=({POST_ID})",
+    rf"[?&]fbid=({POST_ID})",
+)
+
+
+def resolved(url: Column, base: Column) -> Column:
+    """A link read on the page `base`: absolute ones stay, others get its scheme, host or folder. Without a base as it is."""
+    origin = F.nullif(F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0), F.lit(""))
+    bare = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(F.length(bare) > F.length(origin), F.regexp_replace(bare, "[^/]*$", "")).otherwise(F.concat(origin, F.lit("/")))
+    absolute = url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    found = (
+        F.when(absolute | origin.isNull(), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), url))
+        .when(url.startswith("/"), F.concat(origin, url)).when(url.startswith("?"), F.concat(bare, url)).when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url))
+    )
+    return found.otherwise(F.concat(folder, url))
+
+
+def clean_url(url: Column, base: Column | None = None) -> Column:
+    """Without tracking parameters and fragment, resolved against the page `base` if one is given; what does not look like a
+    link stays as it is."""
+    url = url if base is None else resolved(url, base)
     bare = F.regexp_replace(url, "#.*$", "")
     base = F.split(bare, r"\?", 2)[0]
     query = F.when(F.instr(bare, "?") > 0, F.split(bare, r"\?", 2)[1]).otherwise(F.lit(""))
@@ -64,12 +91,8 @@ def _reads(pattern: str):
 
 def post_id(urls: Column) -> Column:
     """Of links in order of trust: the id by the first pattern that any of them has, and that pattern's number."""
-    patterns = (
-        rf"/groups/[^/]+/(?:posts|permalink)/({POST_ID})", rf"multi_permalinks=({POST_ID})", rf"story_fbid=({POST_ID})",
-        r"[?&]set=gm\.(\d+)", rf"/(?:videos|reel)/({POST_ID})", rf"[?&]v=({POST_ID})", rf"[?&]fbid=({POST_ID})",
-    )
     found = []
-    for number, pattern in enumerate(patterns):
+    for number, pattern in enumerate(POST_ID_PATTERNS):
         hits = F.filter(F.transform(urls, _reads(pattern)), lambda x: x != "")
         id_ = F.try_element_at(hits, F.lit(1))
         found.append(F.when(id_.isNotNull(), F.struct(id_.alias("id"), F.lit(number).alias("pattern"))))

@@ -138,7 +138,7 @@ def page_anchors(spark, sf_dir):
 
 @query()
 def page_blocks(spark, sf_dir):
-    blocks = block_text(node_table(table(spark, sf_dir, "pages")))
+    blocks = block_text(table(spark, sf_dir, "pages"))
     return blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), F.max(F.length("text")).alias("longest"))
 
 

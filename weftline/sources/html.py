@@ -1,123 +1,192 @@
-"""Landed pages as a table of nodes with nested-set numbers, so that `inside` is a range of numbers."""
+"""Landed pages as tables of nodes with nested-set numbers, so that `inside` is a range of numbers.
+
+The parser only numbers things: which nodes and which pieces of text stand inside a node, and its nearest nodes of some kinds
+above. What a page says is read from these numbers by Spark.
+"""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.text import read_text
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset(("script", "style"))
 # Tags that end an open one of the first kind.
-CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
-NODE = T.ArrayType(
+# Tags with a line break before and behind them.
+BREAKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+)
+UNSEEN = frozenset("head noscript script style template title".split())
+HEADINGS = frozenset(("h2", "h3", "h4"))
+INT, TEXT = T.IntegerType(), T.StringType()
+NODE = (
     T.StructType()
-    .add("node", T.IntegerType()).add("parent", T.IntegerType()).add("pre", T.IntegerType()).add("post", T.IntegerType())
-    .add("depth", T.IntegerType()).add("tag", T.StringType()).add("attrs", T.MapType(T.StringType(), T.StringType())).add("own_text", T.StringType())
-    .add("first", T.IntegerType()).add("after", T.IntegerType())  # of the page's runs of text, those inside
-    .add("runs", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("text", T.StringType())))
-    .add("unit", T.IntegerType())  # innermost node with role article around it, itself included
-    .add("top", T.IntegerType())  # outermost such node
-    .add("grand", T.IntegerType())  # the parent's parent
-    .add("kind", T.StringType())  # innermost of heading, control and dialog around it, itself included
+    .add("node", INT).add("parent", INT).add("grand", INT)  # the parent's parent
+    .add("end", INT)  # the number behind the last node inside
+    .add("pre", INT).add("post", INT).add("depth", INT).add("tag", TEXT).add("attrs", T.MapType(TEXT, TEXT)).add("own_text", TEXT)
+    .add("text", TEXT)  # inside it, as a browser shows it; null for plain containers
+    .add("href", TEXT)  # of a link, or the source of a picture: resolved against the page's link
+    .add("first", INT).add("after", INT)  # of the page's pieces of text, those inside
+    .add("article", INT).add("outer", INT)  # nearest div with role article: itself included, or only above
+    .add("heading", INT).add("strong", INT).add("control", INT).add("press", INT).add("auto", INT)  # nearest, itself included
+    .add("dialog", T.BooleanType()).add("box_leaf", T.BooleanType()).add("auto_leaf", T.BooleanType())  # in a dialog; no div or span inside, no dir=auto inside
 )
+PAGE = T.StructType().add("nodes", T.ArrayType(NODE)).add("said", T.ArrayType(T.StructType().add("text", TEXT).add("article", INT)))
+NEAREST = ("article", "outer", "heading", "strong", "control", "press", "auto", "dialog")
+
+
+READ_TAGS, READ_ROLES = frozenset("a abbr h2 h3 h4 span strong time".split()), frozenset(("button", "link"))
+READ_ATTRS = frozenset("aria-label data-ad-comet-preview data-ad-preview data-testid dir tabindex title".split())
 
 
-HEADINGS = frozenset(("h2", "h3", "h4", "strong"))
-CONTROLS = frozenset(("button", "toolbar", "link"))
+def shown(text: str) -> str:
+    """White space normalised, and a control at the end that shows or hides the rest cut off; `read_text` of columns."""
+    lines = [line.strip() for line in re.sub("[ \t\u00a0]+", " ", text).split("\n")]
+    return re.sub(r"(?i)\s*See (?:more|less)\Z", "", re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip())
+
+
+def joined(base: str | None, link: str) -> str:
+    """A link resolved against a page's; what can't be resolved stays as it is."""
+    try:
+        return urljoin(base or "", link.strip())
+    except ValueError:
+        return link
 
 
 class _Nodes(HTMLParser):
     """Tolerant: unclosed tags end with their parents, stray end tags count for nothing."""
 
-    def __init__(self) -> None:
+    def __init__(self, url: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[int] = []
+        self.url = url
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
         self.clock = 0
-        self.said = 0  # runs of text so far
-        self.run: list | None = None  # that no tag has ended
+        self.said: list[list] = []  # text, and the nearest article around it
+        self.running = False  # the last piece can still grow: no tag has ended it
+        self.unseen = 0  # open nodes whose text is not shown
 
     def _tick(self) -> int:
         self.clock += 1
         return self.clock
 
+    def _say(self, text: str, article: int | None) -> None:
+        if not self.unseen:
+            if self.running:
+                self.said[-1][0] += text
+            else:
+                self.said.append([text, article])
+
     def _end(self) -> None:
-        row = self.rows[self.open.pop()]
-        row[3], row[9], self.run = self._tick(), self.said, None
+        row = self.open.pop()
+        row["post"], row["end"], row["after"], self.running = self._tick(), len(self.rows), len(self.said), False
+        self.unseen -= row.pop("unseen")
+        if self.open:
+            up = self.open[-1]
+            up["box_leaf"] &= row["box_leaf"] and row["tag"] not in ("div", "span")
+            up["auto_leaf"] &= row["auto_leaf"] and row["attrs"].get("dir") != "auto"
+        own = row["attrs"]
+        if row["tag"] in READ_TAGS or row["box_leaf"] and row["tag"] == "div" or own.get("role", "").lower() in READ_ROLES or not READ_ATTRS.isdisjoint(own):
+            row["text"] = shown("".join([t for t, _ in self.said[row["first"] : row["after"]]]))
+        if row["tag"] in BREAKS:
+            self._say("\n", row["outer"])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.open and self.rows[self.open[-1]][5] in CLOSES.get(tag, ()) or self.open and tag in BLOCKS and self.rows[self.open[-1]][5] == "p":
+        while self.open and (self.open[-1]["tag"] in CLOSES.get(tag, ()) or tag in BLOCKS and self.open[-1]["tag"] == "p"):
             self._end()
-        parent = self.open[-1] if self.open else None
-        known = {k: v or "" for k, v in attrs}
-        unit, top, grand, kind = (None, None, None, None) if parent is None else (self.rows[parent][11], self.rows[parent][12], self.rows[parent][1], self.rows[parent][14])
-        role = known.get("role", "").lower()
-        if role == "article":
-            unit = len(self.rows)
-            top = unit if top is None else top
-        kind = "dialog" if role == "dialog" else "control" if role in CONTROLS else "heading" if tag in HEADINGS else None if role == "article" and kind != "dialog" else kind
-        self.rows.append([len(self.rows), parent, self._tick(), None, len(self.open), tag, known, "", self.said, None, [], unit, top, grand, kind])
-        self.run = None
-        self.open.append(len(self.rows) - 1)
+        known, up, number = {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None, len(self.rows)
+        near = {k: up[k] if up else None for k in NEAREST}
+        self.running = False
+        if tag in BREAKS:
+            self._say("\n", near["article"])
+        self.running, near["outer"], role = False, near["article"], known.get("role", "").lower()
+        if role == "article" and tag == "div":
+            near["article"] = number
+        for kind, here in (("heading", tag in HEADINGS), ("strong", tag == "strong"), ("control", role in ("button", "toolbar")), ("press", role in ("button", "link")), ("auto", known.get("dir") == "auto")):
+            near[kind] = number if here else near[kind]
+        near["dialog"] = bool(near["dialog"]) or role == "dialog" and tag == "div"
+        link = known.get("href") if tag == "a" else known.get("src") if tag == "img" else None
+        unseen = int(tag in UNSEEN or "hidden" in known)
+        self.rows.append({
+            "node": number, "parent": up and up["node"], "grand": up and up["parent"], "end": None, "pre": self._tick(), "post": None, "depth": len(self.open), "tag": tag, "attrs": known,
+            "own_text": "", "text": None, "href": None if link is None else joined(self.url, link), "first": len(self.said), "after": None, **near, "box_leaf": True, "auto_leaf": True, "unseen": unseen,
+        })
+        self.open.append(self.rows[-1])
+        self.unseen += unseen
         if tag in VOID:
             self._end()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(self.rows[i][5] == tag for i in self.open):
-            while self.rows[self.open[-1]][5] != tag:
+        if any(row["tag"] == tag for row in self.open):
+            while self.open[-1]["tag"] != tag:
                 self._end()
             self._end()
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            row = self.rows[self.open[-1]]
-            row[7] += data
-            if self.run is None:
-                self.run = [self.said, ""]
-                row[10].append(self.run)
-                self.said += 1
-            self.run[1] += data
+            self.open[-1]["own_text"] += data
+            self._say(re.sub(r"\s+", " ", data), self.open[-1]["article"])
+            self.running = not self.unseen
 
 
-def nodes_of(html: str | None) -> list[tuple]:
-    parser = _Nodes()
+def page_of(html: str | None, url: str | None = None) -> dict:
+    """{nodes, said}: nodes in document order and the pieces of text between tags, with a line break where a block begins or ends."""
+    parser = _Nodes(url)
     parser.feed(html or "")
     parser.close()
     while parser.open:
         parser._end()
-    return [(*r[:10], [tuple(x) for x in r[10]], *r[11:]) for r in parser.rows]
+    return {"nodes": parser.rows, "said": [{"text": t, "article": a} for t, a in parser.said]}
+
+
+@F.udf(PAGE, useArrow=True)
+def parse_page(html: str, url: str) -> dict:
+    return page_of(html, url)
+
+
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url") -> DataFrame:
+    """page_id, page_url, nodes, said. Each row is a page of its own, also where ids repeat; null or empty pages have no nodes."""
+    url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
+    read = pages.select(F.col(id_col).alias("page_id"), url.alias("page_url"), parse_page(html_col, url).alias("x"))
+    return read.select("page_id", "page_url", "x.nodes", "x.said")
+
+
+def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = None) -> DataFrame:
+    """page_id and the columns of NODE, one row a node."""
+    return parsed_pages(pages, id_col, html_col, url_col).select("page_id", F.explode_outer("nodes").alias("x")).select("page_id", "x.*").where("node is not null")
 
 
-@F.udf(NODE, useArrow=True)
-def parse_html(html: str) -> list[tuple]:
-    return nodes_of(html)
+def pieces(said: Column, node: Column, base: Column | int = 0) -> Column:
+    """The pieces of text inside a node; `said` begins with piece `base` of the page."""
+    return F.slice(said, node["first"] - base + 1, node["after"] - node["first"])
 
 
-def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, node, parent, pre, post, depth, tag, attrs, own_text, first, after, runs, unit, top, grand, kind. Null or empty pages have no nodes."""
-    return pages.select(F.col(id_col).alias("page_id"), F.explode(parse_html(html_col)).alias("x")).select("page_id", "x.*")
+def text_inside(said: Column, node: Column, base: Column | int = 0) -> Column:
+    """A node's text as a browser shows it: line breaks around blocks, no hidden nodes, white space made single."""
+    return read_text(F.array_join(F.transform(pieces(said, node, base), lambda p: p["text"]), ""))
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
     return nodes.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", "pre", F.col("attrs")["href"].alias("href"), "own_text")
 
 
-def block_text(nodes: DataFrame, tags: tuple[str, ...] = tuple(sorted(BLOCKS))) -> DataFrame:
-    """page_id, start, tag, text: of each node of these tags, the text of all nodes inside it, in order.
+def block_text(pages: DataFrame, tags: tuple[str, ...] = tuple(sorted(BLOCKS)), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """page_id, start, tag, text: of each node of these tags, the text inside it. Text counts for every block around it.
 
-    Text counts for every block around it. Inside a node stand consecutive runs of its page's text, so a page's rows
-    travel once and no ancestors are listed.
+    A page stays one row until its blocks are read: inside a node stand consecutive pieces of its page's text.
     """
-    block = F.when(F.col("tag").isin(*tags), F.struct("pre", "tag", "first", "after"))
-    runs = F.transform(F.array_sort(F.flatten(F.collect_list("runs"))), lambda x: x["text"])
-    pages = nodes.groupBy("page_id").agg(F.collect_list(block).alias("blocks"), runs.alias("runs"))
-    text = lambda x: F.array_join(F.slice("runs", x["first"] + 1, x["after"] - x["first"]), " ")
-    found = F.transform("blocks", lambda x: F.struct(x["pre"].alias("start"), x["tag"].alias("tag"), text(x).alias("text")))
-    return pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
+    read = parsed_pages(pages, id_col, html_col, None)
+    blocks = F.filter("nodes", lambda n: n["tag"].isin(*tags))
+    found = F.transform(blocks, lambda n: F.struct(n["pre"].alias("start"), n["tag"].alias("tag"), text_inside(F.col("said"), n).alias("text")))
+    return read.select("page_id", F.explode_outer(found).alias("x")).select("page_id", "x.*").where("start is not null")
 
 
 def titles(nodes: DataFrame) -> DataFrame:
