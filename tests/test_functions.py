@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,19 +74,6 @@ def test_comment_bodies(spark):
     assert one(spark, comments.author_and_age, "Ann Lee 8 hours ago").asDict() == {"name": "Ann Lee", "age": "8 hours ago"}
 
 
-def test_upserts_survive_a_crash(spark, tmp_path):
-    path = str(tmp_path / "store")
-    rows = lambda *x: spark.createDataFrame(x, "k int, v int, name string")
-    sink.write_upsert(rows((1, 1, "a"), (2, 1, "b")), path, "k", "v")
-    half = tmp_path / "store" / "generation-000000000001"
-    half.mkdir()
-    (half / "part-0.parquet").write_bytes(b"half written")  # a delivery that died before its mark
-    last = sink.write_upsert(rows((2, 2, "c"), (3, 1, "d")), path, "k", "v")
-    assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
-    last = sink.write_upsert(rows((2, 2, "c")), path, "k", "v")
-    assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
-    assert len(sink.generations(spark, path)) == 2
-
 
 def test_resolved_time(spark):
     got = one(spark, lambda x: times.resolved_time(x, F.col("now")), ["hello", "2h", "9/8/2023"], "array<string>")
@@ -178,9 +166,16 @@ def test_pages_and_payloads():
     assert all(n["pre"] < n["post"] for n in nodes) and nodes[3]["parent"] in (0, 2) and nodes[6]["href"] == "https://h.example/a/y"
     assert page_of(None) == {"nodes": [], "said": []}
     assert first_json('noise {"a": [1, 2]} tail') == '{"a":[1,2]}' and first_json("[1]") == "[1]" and first_json("{x") is None and first_json(None) is None
-    text_ = '{"post_id": 1, "text": "a", "kids": [{"text": "b", "author_id": 7}, {"post_id": 2, "text": "c"}]}'
-    assert stories_of(text_) == [("1", "a", None, 0), ("1", "b", "7", 1), ("2", "c", None, 2)]
-    assert stories_of("{") == [] and stories_of(None) == []
+    text_ = '{"post_id": 1, "message": {"text": "a"}, "actors": [{"id": "9"}], "kids": [{"message_text": "b"}, {"legacy_story_id": "pfbidX", "post_id": true, "comments": [{"post_id": 3}]}]}'
+    assert stories_of(text_) == [("own", "1", "a", None, 0), ("author", "1", None, "9", 1), ("own", "1", "b", None, 2)]
+    long = "a text of more than twenty letters"
+    shared = {"post_id": 5, "top_level_comments": 3, "comments": {"message": {"text": "an answer " + long}}, "attached_story": {"post_id": 6, "media": [{"message": {"text": "short"}}, {"message_text": long}]}}
+    assert stories_of(json.dumps(shared)) == [("shared", "5", long, None, 0)]
+    deep = json.dumps({"post_id": 1, "message": {"text": long}})
+    for _ in range(400):
+        deep = '{"x": [' + deep + "]}"
+    assert stories_of(deep) == [("own", "1", long, None, 0)]
+    assert stories_of("{") == [] and stories_of(None) == [] and stories_of("3") == []
 
 
 def test_release_and_budget(spark):

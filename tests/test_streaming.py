@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from weftline.operators import sink
+from weftline.operators.store import KeyedStore
 from weftline.streaming import stream
 
 KIND = "user_id long, event_id long, value double, ts timestamp"
@@ -39,9 +40,9 @@ def test_upsert_sink_delivers_twice(spark, tmp_path):
     for _ in range(2):
         q = rows.writeStream.foreachBatch(deliver).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c{_}").start()
         q.awaitTermination(120)
-    now = spark.read.text(f"{tmp_path}/out/current").first()[0]
+    now = KeyedStore(spark, f"{tmp_path}/out", "user_id", "event_id").read()
     want = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    assert sorted(map(tuple, spark.read.parquet(now).select("user_id", "event_id").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, now.select("user_id", "event_id").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_hold_until_result(spark, tmp_path):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import skeleton
+from weftline.functions.text import folded_skeleton, skeleton
 
 
 def heads_of(stories: DataFrame, id_col: str, text_col: str, least: int = 20, size: int = 40) -> DataFrame:
@@ -55,22 +55,52 @@ def _by_minimiser(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.length(text) >= LEAST_HEAD).select(key, text).mapInArrow(run, f"{key} {kind}, minimiser long")
 
 
+def _contained(bare: DataFrame, needles: DataFrame) -> DataFrame:
+    """unit and the columns of needles (needle, ...): each needle of LEAST_HEAD letters or more that stands in a unit's bare text.
+
+    No search of all pairs: where a needle stands, its first letters are a stretch of the unit, and both have the same
+    minimiser. A unit sends its minimisers only, about one for seven letters; pairs that meet are verified by `contains`.
+    """
+    named = needles.withColumn("start", F.left("needle", F.lit(LEAST_HEAD)))
+    keys = _by_minimiser(named.select("start").distinct(), "start", "start")
+    met = _by_minimiser(bare, "unit", "bare").join(keys, "minimiser").select("unit", "start").distinct().join(named, "start")
+    return bare.join(met, "unit").where(F.contains("bare", "needle")).drop("bare", "start")
+
+
 def contained_heads(units: DataFrame, id_col: str, text_col: str, heads: DataFrame, size: int = 40) -> DataFrame:
     """unit, id: the one story whose head stands somewhere in the unit's skeleton. Units that contain heads of several have no match.
 
-    No search of all pairs: where a head stands, its first letters are a stretch of the unit, and both have the same
-    minimiser. A unit sends its minimisers only, about one for seven letters; pairs that meet are verified by `contains`.
     Null texts have no match; heads are 20 letters long or longer, as `heads_of` makes them, and count up to `size` letters.
     """
     bare = units.select(F.col(id_col).alias("unit"), skeleton(F.col(text_col)).alias("bare"))
-    named = heads.select(F.left("head", F.lit(size)).alias("head"), "id", F.left("head", F.lit(LEAST_HEAD)).alias("start"))
-    keys = _by_minimiser(named.select("start").distinct(), "start", "start")
-    met = _by_minimiser(bare, "unit", "bare").join(keys, "minimiser").select("unit", "start").distinct().join(named, "start")
-    inside = bare.join(met, "unit").where(F.contains("bare", "head"))
-    found = inside.groupBy("unit").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    found = _contained(bare, heads.select(F.left("head", F.lit(size)).alias("needle"), "id")).groupBy("unit").agg(F.min("id").alias("id"), F.max("id").alias("other"))
     return found.where("id = other").drop("other")
 
 
+SOURCES = ("text", "text", "reshare", "reshare", "author")  # by strength
+
+
+def matched_stories(units: DataFrame, id_col: str, text_col: str, author_col: str, stories: DataFrame, size: int = 40) -> DataFrame:
+    """unit, id, source: the story of a payload that a unit shows. stories: as `story_rows` has them.
+
+    First the heads of stories' own texts that the unit's letters contain, then their tails, then heads and tails of what stories share;
+    the first of these kinds that matches decides, and if it names several stories there is none. A unit that no text matches goes
+    to the one story without text that its author has. Of equal heads the first story keeps it. Texts count from 20 letters on.
+    """
+    whole = stories.where("kind <> 'author'").select("kind", "story", "ord", folded_skeleton(F.col("text")).alias("bare")).where(F.length("bare") >= LEAST_HEAD)
+    first = whole.groupBy("kind", F.left("bare", F.lit(size)).alias("head")).agg(F.min_by(F.struct("story", F.right("bare", F.lit(size)).alias("tail")), "ord").alias("x"))
+    rank = F.when(F.col("kind") == "own", 0).otherwise(2)
+    ends = F.explode(F.array(F.struct(rank.alias("rank"), F.col("head").alias("needle")), F.struct((rank + 1).alias("rank"), F.col("x.tail").alias("needle"))))
+    needles = first.select(F.col("x.story").alias("id"), ends.alias("y")).select("id", "y.rank", "y.needle")
+    bare = units.select(F.col(id_col).alias("unit"), folded_skeleton(F.col(text_col)).alias("bare"))
+    by_text = _contained(bare, needles).groupBy("unit", "rank").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    written = unique_by(stories.where("kind = 'author'"), "author", "story").select(F.col("author").alias("of"), F.col("story").alias("id"))
+    asked = units.select(F.col(id_col).alias("unit"), F.col(author_col).cast("string").alias("of")).where("of is not null")
+    by_author = asked.join(written, "of").select("unit", F.lit(4).alias("rank"), "id", F.col("id").alias("other"))
+    best = by_text.unionByName(by_author).groupBy("unit").agg(F.min_by(F.struct("id", "other"), "rank").alias("x"), F.min("rank").alias("rank"))
+    return best.where("x.id = x.other").select("unit", "x.id", F.get(F.array(*map(F.lit, SOURCES)), "rank").alias("source"))
+
+
 def unique_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, value: of keys that have exactly one distinct value."""
     known = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())

@@ -1,8 +1,8 @@
-"""Idempotent delivery: records replace those of the same key."""
+"""Idempotent delivery: records replace those of the same key. Where they are kept is `store`'s matter."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,34 +10,8 @@ def upserted(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataF
     """One row a key: that of the greatest version; of equals the new one. Delivering twice changes nothing."""
     both = stored.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
     columns = [c for c in both.columns if c != "is_new"]
-    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "is_new")).alias("row")).select("row.*")
-
-
-def generations(spark: SparkSession, path: str) -> list[str]:
-    """The folders of all whole generations below `path`, oldest first. One whose write did not end has no mark and doesn't count."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation-*/_SUCCESS")
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
-    return sorted(x.getPath().getParent().toString() for x in found or [])
-
-
-def write_upsert(new: DataFrame, path: str, key: str, version: str, keep: int = 2) -> str:
-    """Writes the next generation of the table below `path` and returns its folder.
-
-    A generation counts from the moment its write is marked as ended, so that a crash at any point leaves the one before;
-    what a crash left half written is written over. The newest `keep` generations stay for readers that have begun.
-    """
-    spark = new.sparkSession
-    there = generations(spark, path)
-    rows = upserted(spark.read.parquet(there[-1]), new, key, version) if there else upserted(new.limit(0), new, key, version)
-    number = int(there[-1].rsplit("-", 1)[1]) + 1 if there else 0
-    made = f"{path}/generation-{number:012d}"
-    rows.write.mode("overwrite").parquet(made)
-    # For readers outside; what is stored is told by the marks alone, so that a crash here loses nothing.
-    spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    for old in there[: max(0, len(there) + 1 - keep)]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return made
+    content = F.xxhash64(*columns)  # of rows of one key and version the same one each time
+    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "is_new", content)).alias("row")).select("row.*")
 
 
 def held_back(undelivered: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("post_id", "group_key")) -> DataFrame:

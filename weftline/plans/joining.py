@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.text import head_key, skeleton
+from weftline.operators.posts import largest_picture
 from weftline.operators import cutoff, merge, queue, resolve, sink, status, threads
 from weftline.plans.registry import query, table
+from weftline.sources import json_payload
 
 
 @query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_totalprice > 300000)")
@@ -60,6 +62,27 @@ def head_dup_groups(spark, sf_dir):
     return heads.groupBy("head").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs")).where("docs > 1")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS kind FROM customer)
+SELECT k AS unit, CAST(k AS VARCHAR) AS id, CASE kind WHEN 1 THEN 'reshare' WHEN 2 THEN 'author' ELSE 'text' END AS source FROM c WHERE kind < 4 AND NOT (k % 15 = 0 AND k + 5 <= (SELECT max(k) FROM c))
+""")
+def story_match(spark, sf_dir):
+    """Customers' payloads against units that show them: own texts, wide letters, tails only, shared texts, authors; texts of two stories and
+    authors of many match none."""
+    key, name, kind = F.col("c_custkey"), F.col("c_name"), F.col("c_custkey") % 5
+    text = lambda k: F.concat(F.lit("Customer no. "), F.lpad(k.cast("string"), 9, "0"), F.lit(" sells what the market asks for, under number "), F.lpad(k.cast("string"), 9, "0"), F.lit("!"))
+    quoted = lambda x: F.concat(F.lit('{"message": {"text": "'), x, F.lit('"}}'))
+    own = F.concat(F.lit('{"data": [{"post_id": '), key, F.lit(', "message": {"text": "'), text(key), F.lit('"}, "feedback": {"comments": [{"post_id": 7, "message": {"text": "a long answer that is no story of its own"}}]}}]}'))
+    shared = F.concat(F.lit('{"node": {"story_fbid": "'), key, F.lit('", "comments": ['), quoted(F.lit("an answer that is not what is shared here")), F.lit('], "attached_story": '), quoted(text(key)), F.lit("}}"))
+    silent = F.concat(F.lit('{"post_id": '), key, F.lit(', "message": {"text": "hi"}, "actors": [{"id": "x"}, {"id": '), F.when(kind == 2, key + 9_000_000).otherwise(F.lit(1)), F.lit("}]}"))
+    payload = F.when(kind.isin(0, 3), own).when(kind == 1, shared).otherwise(silent)
+    wide = F.when(key % 10 == 0, F.replace(F.upper(text(key)), F.lit("C"), F.lit("\uff23"))).otherwise(text(key))
+    both = F.when(key % 15 == 0, F.concat(wide, F.lit("\n"), text(key + 5))).otherwise(wide)
+    shown = F.when(kind == 3, F.right(text(key), F.lit(55))).when(kind < 2, F.concat(name, F.lit("\n"), both)).otherwise(F.concat(F.lit("seen "), name, F.lit(" say hi")))
+    rows = table(spark, sf_dir, "customer").select(key.alias("unit"), payload.alias("payload"), shown.alias("shown"), F.when(kind == 2, key + 9_000_000).otherwise(F.lit(1)).alias("author"))
+    return resolve.matched_stories(rows, "unit", "shown", "author", json_payload.story_rows(rows, "payload", "unit"))
+
+
 @query("SELECT n_chars AS author, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 1")
 def unique_author_fallback(spark, sf_dir):
     return resolve.unique_by(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("author"), "doc_id"), "author", "doc_id")
@@ -81,10 +104,11 @@ def containment_antijoin(spark, sf_dir):
     return resolve.outermost(rows, "l_orderkey", "s", "e").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_brand, arg_max(p_partkey, CAST(p_size AS BIGINT) * 100000000 - p_partkey) AS p_partkey, max(p_size) AS size FROM part WHERE p_size >= 10 GROUP BY 1")
+@query("SELECT p_brand, arg_max(p_partkey, CAST(p_size AS BIGINT) * 100000000 - p_partkey) AS p_partkey FROM part WHERE p_size >= 10 GROUP BY 1")
 def largest_media(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_size >= 10")
-    return rows.groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("p_partkey"), F.max("p_size").alias("size"))
+    pictures = F.array_sort(F.collect_list(F.struct("p_partkey", (F.col("p_size") * 1_000).cast("double").alias("area"))))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(pictures.alias("pictures"))
+    return rows.select("p_brand", largest_picture(F.transform("pictures", lambda x: F.struct(x["p_partkey"].alias("url"), x["area"].alias("area")))).alias("p_partkey"))
 
 
 @query("""

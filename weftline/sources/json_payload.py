@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import math
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,27 @@ from pyspark.sql import types as T
 
 from weftline.functions.comments import FOREIGN_SEGMENTS
 
+# Keys whose values name a post, the strongest first.
+ID_KEYS = (
+    "post_id",
+    "postID",
+    "legacy_story_id",
+    "story_fbid",
+    "subscription_target_id",
+    "ftid",
+)
+# The shape of an id, and segments of a path that lead into a thread.
+STORY_ID = r"\d+|pfbid[A-Za-z0-9]+"
+THREAD_SEGMENTS = (
+    "comment",
+    "comments",
+    "comment_parent",
+    "feedback",
+    "top_level_comments",
+)
+LEAST_LETTERS = 20
 STORY = T.ArrayType(
-    T.StructType().add("story", T.StringType()).add("text", T.StringType()).add("author", T.StringType()).add("ord", T.IntegerType())
+    T.StructType().add("kind", T.StringType()).add("story", T.StringType()).add("text", T.StringType()).add("author", T.StringType()).add("place", T.IntegerType())
 )
 
 
@@ -46,41 +65,76 @@ def json_content(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.when(F.try_parse_json(text).isNull(), embedded_json(text))))
 
 
-def stories_of(text: str | None, depth: float = math.inf, most: float = math.inf) -> list[tuple]:
-    """(story, text, author, order): texts under the nearest enclosing object with a post_id, depth first. Bounds cut only where they are given."""
+def stories_of(text: str | None) -> list[tuple]:
+    """(kind, story, text, author, order) of the stories that a JSON text names, in order of a depth-first walk.
+
+    A story is an object with an id under one of ID_KEYS, and owns what stands inside it up to the next one; what leads to other
+    stories and comments is not entered. Kind `own`: a text of the story itself. `shared`: of a story without text the first
+    long one inside it, which it shares, outside its thread. `author`: of a story without a long text who wrote it.
+    """
     try:
-        root = json.loads(text or "null")
+        stack = [(json.loads(text or "null"), None)]
     except ValueError:
         return []
-    out, stack, seen = [], [(root, None, 0)], 0
-    while stack and seen < most:
-        value, story, level = stack.pop()
-        seen += 1
+    out: list[tuple] = []
+    while stack:
+        value, story = stack.pop()
         if isinstance(value, dict):
-            story = str(value["post_id"]) if value.get("post_id") is not None else story
-            author = value.get("author_id")
-            if story is not None and isinstance(value.get("text"), str):
-                out.append((story, value["text"], None if author is None else str(author), len(out)))
-        if isinstance(value, (dict, list)) and level < depth:
-            inner = list(value.values()) if isinstance(value, dict) else value
-            stack += [(x, story, level + 1) for x in reversed(inner)]
+            named = next((str(value[k]) for k in ID_KEYS if value.get(k) is not None and not isinstance(value[k], bool) and re.fullmatch(STORY_ID, str(value[k]))), None)
+            story, said = named or story, own_text(value)
+            if story and said is not None:
+                out.append(("own", story, said, None, len(out)))
+            if named and said is None and (shared := first_text(value)) is not None:
+                out.append(("shared", story, shared, None, len(out)))
+            if named and len(letters(said or "")) < LEAST_LETTERS:
+                actors = value["actors"] if isinstance(value.get("actors"), list) else []
+                actor = next((str(a["id"]) for a in actors if isinstance(a, dict) and re.fullmatch(r"\d+", str(a.get("id", "")))), None)
+                if actor:
+                    out.append(("author", story, None, actor, len(out)))
+            value = [v for k, v in value.items() if k not in FOREIGN_SEGMENTS]
+        if isinstance(value, list):
+            stack += [(x, story) for x in reversed(value) if isinstance(x, (dict, list))]
     return out
 
 
+def own_text(value: dict) -> str | None:
+    message = value.get("message")
+    said = message.get("text") if isinstance(message, dict) else None
+    said = value.get("message_text") if said is None else said
+    return said if isinstance(said, str) else None
+
+
+def first_text(value: object) -> str | None:
+    """The first text of at least LEAST_LETTERS letters inside a value, depth first, not entering threads."""
+    stack = [value]
+    while stack:
+        value = stack.pop()
+        if isinstance(value, dict):
+            said = own_text(value)
+            if said is not None and len(letters(said)) >= LEAST_LETTERS:
+                return said
+            value = [v for k, v in value.items() if k not in THREAD_SEGMENTS]
+        if isinstance(value, list):
+            stack += [x for x in reversed(value) if isinstance(x, (dict, list))]
+    return None
+
+
+def letters(text: str) -> str:
+    """Compatibility forms folded, lower case, letters and numbers only; `text.folded_skeleton` of columns."""
+    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if unicodedata.category(c)[0] in "LN")
+
+
 @F.udf(STORY, useArrow=True)
 def walk_json(text: str) -> list[tuple]:
     return stories_of(text)
 
 
-# Keys whose values name a post, the strongest first.
-ID_KEYS = (
-    "post_id",
-    "postID",
-    "legacy_story_id",
-    "story_fbid",
-    "subscription_target_id",
-    "ftid",
-)
+def story_rows(payloads: DataFrame, column: str, order: str) -> DataFrame:
+    """kind, story, text, author, ord of all stories in payloads; ord: (order of the payload, place in it)."""
+    each = payloads.select(F.col(order).alias("payload_order"), F.explode_outer(walk_json(column)).alias("x")).where("x is not null")
+    return each.select("x.kind", "x.story", "x.text", "x.author", F.struct(F.col("payload_order").alias("payload"), F.col("x.place").alias("place")).alias("ord"))
+
+
 HITS = T.StructType().add("hits", T.ArrayType(T.StructType().add("rank", T.IntegerType()).add("depth", T.IntegerType()).add("path", T.StringType()).add("value", T.StringType())))
 HITS = HITS.add("groups", T.ArrayType(T.StringType()))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.merge import merge_readings
-from weftline.operators.sink import write_upsert
+from weftline.operators.store import KeyedStore
 
 
 def merged_stream(readings: DataFrame, key: str, seq: str, **rules) -> DataFrame:
@@ -54,11 +54,11 @@ def hold_until_result(rows: DataFrame, key: str, limit_ms: int = 2_400_000) -> D
     )
 
 
-def upsert_sink(path: str, key: str, version: str):
-    """For foreachBatch: at-least-once delivery, made idempotent by key and version."""
+def upsert_sink(path: str, key: str, version: str, parts: int = 64):
+    """For foreachBatch: at-least-once delivery into a keyed store, made idempotent by key and version."""
 
     def deliver(batch: DataFrame, number: int) -> None:
-        write_upsert(batch.dropDuplicates([key, version]), path, key, version)
+        KeyedStore(batch.sparkSession, path, key, version, parts).upsert(batch)
 
     return deliver
 
