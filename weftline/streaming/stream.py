@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.merge import merge_readings
@@ -23,6 +24,37 @@ def once_per_key(rows: DataFrame, keys: list[str], time_col: str, delay: str = "
     return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
+class _Unseen(StatefulProcessor):
+    """Lets the first row of each key through; the key is remembered for as long as nothing renews it."""
+
+    def __init__(self, remember_ms: int) -> None:
+        self.remember_ms = remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.remember_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.exists()
+        self.seen.update((True,))  # each sight renews the time
+        for part in rows:
+            if not known and len(part):
+                known = True
+                yield part.iloc[:1]
+
+    def close(self) -> None:
+        pass
+
+
+def read_once(rows: DataFrame, content: str, remember_ms: int = 86_400_000) -> DataFrame:
+    """Rows whose content has not come before, by its digest; a digest is forgotten when its content has not been seen for so long.
+
+    State is one flag a digest, whatever the content's size. Needs the RocksDB state store.
+    """
+    digest = rows.withColumn("content_digest", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
+    kept = digest.groupBy("content_digest").transformWithStateInPandas(_Unseen(remember_ms), digest.schema, "Append", "ProcessingTime")
+    return kept.drop("content_digest")
+
+
 def hold_until_result(rows: DataFrame, key: str, limit_ms: int = 2_400_000) -> DataFrame:
     """key, result, reason: posts (kind 'post') wait for their thread (kind 'result'); late ones go without.
 
