@@ -6,8 +6,9 @@ however partial results are combined, so that Spark aggregates map-side.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,64 @@ def merge_comments(rows: DataFrame, keys: Sequence[str], seq: str, position: str
     return merged
 
 
+def folded_threads(rows: DataFrame, group: str, seq: str, position: str, author: str = "author", text: str = "text", likes: str = "likes", at: str = "at") -> DataFrame:
+    """group, place, author, text, likes, at: a thread's readings merged one after the other, in order of `seq`.
+
+    Of two lists of comments the longer leads, of equally long ones the newer; what only the other has follows. A comment of the newer
+    list takes the larger count of likes and the earlier reading's time; one of the older list stays as it is, so that likes that only a
+    shorter reading has are lost. The order of readings matters, which is why no aggregate does this: threads are dealt to tasks,
+    sorted, and folded as they come in; a task holds one thread and one reading of it. Null groups are no threads.
+    """
+    names = (group, seq, position, author, text, likes, at)
+    kept = rows.where(F.col(group).isNotNull()).select(*names).repartition(group).sortWithinPartitions(group, seq, position)
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        thread: list[tuple] = []
+        reading: list[tuple] = []
+        now: tuple | None = None  # group and reading
+
+        def done() -> pa.RecordBatch:
+            columns = [[now[0]] * len(thread), range(len(thread)), *zip(*thread, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            if schema is None:
+                types = [batch.schema.field(n).type for n in (author, text, likes, at)]
+                schema = pa.schema([(group, batch.schema.field(group).type), ("place", pa.int32()), *zip((author, text, likes, at), types, strict=True)])
+            for one, turn, _, *comment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (one, turn):
+                    if now:
+                        thread, reading = merged_comments(thread, reading) if thread else reading, []
+                        if now[0] != one and thread:
+                            yield done()
+                        thread = thread if now[0] == one else []
+                    now = (one, turn)
+                reading.append(tuple(comment))
+        if now:
+            thread = merged_comments(thread, reading) if thread else reading
+            yield done()
+
+    return kept.mapInArrow(run, ", ".join([f"`{group}` {kinds[group]}", "place int", *(f"`{n}` {kinds[n]}" for n in (author, text, likes, at))]))
+
+
+def merged_comments(older: list[tuple], newer: list[tuple]) -> list[tuple]:
+    """Two lists of (author, text, likes, at) as one; see `folded_threads`."""
+    name = lambda c: (c[0] or "", c[1] or "")
+    saved = {name(c): c for c in older}
+    out: dict[tuple, tuple] = {}
+    for comment in [*newer, *older] if len(newer) >= len(older) else [*older, *newer]:
+        prior = saved.get(name(comment))
+        if name(comment) not in out:
+            if prior is None or prior is comment:
+                out[name(comment)] = comment
+            else:
+                most = comment[2] if prior[2] is None else max(comment[2] or 0, prior[2])
+                out[name(comment)] = (*comment[:2], most, comment[3] if prior[3] is None else prior[3])
+    return list(out.values())
+
+
 def adopted(entries: DataFrame, record: str, key: str, first_seen: str, truncated: str, hold: str) -> DataFrame:
     """Entries found to be one record become one: the oldest key, the earliest time, truncated if any is, and the oldest hold.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import cutoff, merge
-from weftline.plans.registry import query, table
+from weftline.operators import cutoff, identity, merge
+from weftline.plans.registry import SQL, query, table
 
 
 @query("""
@@ -23,13 +23,13 @@ def merge_readings(spark, sf_dir):
 
 
 @query("""
-SELECT lang, arg_max(doc_id, length(text) * 1000000000 - doc_id) AS doc_id, max(length(text)) AS length, count(*) AS readings
+SELECT lang, md5(arg_max(text, length(text) * 1000000000 - doc_id)) AS digest, max(length(text)) AS length, count(*) AS readings
 FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY 1
 """)
 def longest_caption(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang is not null and text is not null").withColumn("size", F.length("text"))
-    best = F.max_by("doc_id", F.struct("size", -F.col("doc_id")))
-    return rows.groupBy("lang").agg(best.alias("doc_id"), F.max("size").cast("long").alias("length"), F.count("*").alias("readings"))
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    merged = merge.merge_readings(rows, "lang", "doc_id", long=["text"])
+    return merged.select("lang", F.md5("text").alias("digest"), F.length("text").cast("long").alias("length"), "readings")
 
 
 @query("""
@@ -90,6 +90,43 @@ def cutoff_streak(spark, sf_dir):
     return cutoff.until_streak(rows, "o_orderpriority", "o_orderkey", "at", F.lit("1997-08-01").cast("timestamp")).drop("at")
 
 
+@query(SQL["cutoff_streak"])
+def cutoff_streak_in_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    return cutoff.until_streak_in_parts(rows, "o_orderpriority", "o_orderkey", "at", F.lit("1997-08-01").cast("timestamp"), width=1_000).drop("at")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role || turn AS author, text, conv_id % 2 = 0 AS longer FROM conversations),
+n AS (SELECT conv_id, count(*) FILTER (longer OR turn % 3 = 0) AS newer, count(*) FILTER (NOT longer OR turn % 3 <> 0) AS older FROM t GROUP BY conv_id),
+b AS (SELECT t.*, (longer OR turn % 3 = 0) AS in_newer, (NOT longer OR turn % 3 <> 0) AS in_older, newer >= older AS newer_leads FROM t JOIN n USING (conv_id))
+SELECT conv_id, author, text, CASE WHEN in_newer AND in_older AND newer_leads THEN greatest(10, turn) WHEN in_newer AND in_older THEN turn WHEN in_newer THEN 10 ELSE turn END AS likes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN newer_leads THEN NOT in_newer ELSE NOT in_older END, turn) - 1 AS place,
+  CASE WHEN in_older AND (turn % 2 = 0) THEN 'first' WHEN in_newer AND (newer_leads OR NOT in_older) THEN 'second' END AS "at" FROM b
+""")
+def thread_fold(spark, sf_dir):
+    """Two readings of each conversation: of even ones the second is whole and the first has gaps, of odd ones the other way round."""
+    rows = table(spark, sf_dir, "conversations").withColumn("longer", F.col("conv_id") % 2 == 0)
+    said = (F.concat("role", F.col("turn").cast("string")).alias("author"), "text")
+    older = rows.where("not longer or turn % 3 <> 0").select("conv_id", F.lit(1).alias("seq"), "turn", *said, F.col("turn").alias("likes"), F.when(F.col("turn") % 2 == 0, "first").alias("at"))
+    newer = rows.where("longer or turn % 3 = 0").select("conv_id", F.lit(2).alias("seq"), "turn", *said, F.lit(10).cast("long").alias("likes"), F.lit("second").alias("at"))
+    return merge.folded_threads(older.unionByName(newer), "conv_id", "seq", "turn").select("conv_id", "author", "text", "likes", F.col("place").cast("long").alias("place"), "at")
+
+
+@query("""
+SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY CASE WHEN o_custkey % 3 = 0 THEN o_custkey // 30 ELSE -o_orderkey - 1 END) AS record FROM orders
+""")
+def record_groups(spark, sf_dir):
+    """Orders of ten neighbouring customers are one record, over a chain of keys from each customer to the next; other orders are their own."""
+    cust = F.col("o_custkey")
+    link = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    chain = F.array(link(cust), F.when(cust % 30 != 27, link(cust + 3)), F.lit(""))
+    chained = table(spark, sf_dir, "orders").select("o_orderkey", F.when(cust % 3 == 0, chain).otherwise(F.array(F.lit(None).cast("string"))).alias("keys"))
+    # Customers without orders would break the chain: each has one entry of its own, above all orders.
+    bridges = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 10_000_000_000).alias("o_orderkey"), F.array(link(F.col("c_custkey")), F.when(F.col("c_custkey") % 30 != 27, link(F.col("c_custkey") + 3))).alias("keys"))
+    return identity.same_record(chained.unionByName(bridges), "o_orderkey", "keys").where("o_orderkey < 10000000000")
+
+
 @query("""
 SELECT o_orderkey, o_orderpriority, array_to_string(list_sort(list_filter(
   [CASE WHEN o_totalprice > 250000 THEN NULL ELSE 'price:missing' END, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'status:unresolved' END, 'order:random'],
