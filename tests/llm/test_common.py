@@ -1,9 +1,12 @@
+import threading
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm.common import hash_words, hashed_words, sequence_hashes, text_slices
+from weftline.llm.common import free, hash_words, hashed_words, materialise, sequence_hashes, settled, text_slices
 
 
 @settings(max_examples=200, deadline=None)
@@ -35,3 +38,29 @@ def test_sequence_hashes(items, n):
     want = [tuple(items[i : i + n]) for i in range(len(items) - n + 1)]
     assert len(found) == len(want)
     assert len(set(found)) == len(set(want)) == len(set(zip(found, want, strict=True)))
+
+
+def test_settled_deletes_its_own_tables_only(spark):
+    there = lambda df: df.count() if df is not None else 0
+    kept = {}
+
+    def stage():
+        kept["inner"] = settled(lambda: materialise(spark.range(3), "deep"), "inner")
+        own = materialise(spark.range(4), "own")
+        # another call of another thread writes a table meanwhile
+        thread = threading.Thread(target=lambda: kept.setdefault("other", materialise(spark.range(5), "other")))
+        thread.start()
+        thread.join()
+        kept["own"] = own
+        return own.union(kept["inner"])
+
+    before = materialise(spark.range(2), "before")
+    out = settled(stage, "out")
+    assert there(out) == 7 and there(kept["other"]) == 5 and there(before) == 2
+    for gone in ("own", "inner"):
+        with pytest.raises(Exception, match="(?i)path|file"):
+            there(kept[gone])
+    free(out, kept["other"], before)
+    for gone in (out, kept["other"], before):
+        with pytest.raises(Exception, match="(?i)path|file"):
+            there(gone)

@@ -108,3 +108,10 @@ def test_empty_tables_and_null_ids(spark, rows):
     got = packed_documents(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     check_packed(got, 4096)
+
+
+def test_repeated_ids_have_places_of_their_own(spark):
+    rows = [(7, t, "en") for t in ("one two", "two one", "one six", "six one")] * 3
+    got = [tuple(r) for r in packed_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).select("sequence_id", "offset", "length", "ids_crc32").collect()]
+    again = [tuple(r) for r in packed_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5)).select("sequence_id", "offset", "length", "ids_crc32").collect()]
+    assert sorted(got) == sorted(again) and len({r[:2] for r in got}) == 12

@@ -32,3 +32,9 @@ def test_runs_cover_all_windows():
     items = np.random.default_rng(2).integers(0, 9, 500).astype(np.uint64)
     starts, counts, _ = runs(items, 20, 4)
     assert starts[0] == 0 and counts.sum() == 481 and (starts[1:] == np.cumsum(counts)[:-1]).all()
+
+
+def test_the_largest_id_is_no_null(spark):
+    rows = [((1 << 63) - 1, "a b c"), (None, "d e")]
+    got = {r["doc_id"]: r["n_words"] for r in remove_repeats(frame(spark, rows)).collect()}
+    assert got == {(1 << 63) - 1: 3, None: 2}

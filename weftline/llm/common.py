@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ NULL_ID = (1 << 63) - 1
 #: Spark's own setting: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[int, str] = {}  # by number, the tables that are there
+_numbers = itertools.count(1)
+_own: ContextVar[list[int] | None] = ContextVar("own", default=None)  # those that the call of `settled` around has made so far
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +50,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out.weftline_table = max(_made, default=0) + 1
+    out.weftline_table = next(_numbers)
     _made[out.weftline_table] = path
+    if (own := _own.get()) is not None:
+        own.append(out.weftline_table)
     return out
 
 
@@ -58,11 +64,17 @@ def free(*tables: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Materialises what `make` returns and deletes what it materialised on the way."""
-    last = max(_made, default=0)
-    out = materialise(make(), name)
-    for number in [k for k in _made if last < k < out.weftline_table]:
-        _delete(out.sparkSession, _made.pop(number))
+    """Materialises what `make` returns and deletes what it materialised on the way, and nothing that others did meanwhile."""
+    own: list[int] = []
+    before = _own.set(own)
+    try:
+        made = make()
+    finally:
+        _own.reset(before)
+    out = materialise(made, name)
+    for number in own:
+        if number in _made:
+            _delete(out.sparkSession, _made.pop(number))
     return out
 
 

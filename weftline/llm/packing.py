@@ -288,4 +288,6 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack_pieces(materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
+    written = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    # Repeated ids are told apart by content, so that a task run again puts each piece where it was.
+    return pack_pieces(written, order_cols=("doc_id", "piece", "ids_crc32"))

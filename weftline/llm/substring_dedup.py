@@ -188,28 +188,29 @@ def remove_repeats(
     """doc_id, n_words, n_removed, kept: the words left, joined by one space; and the column `carry`, if named."""
     more = [F.col(carry)] if carry else []
     own = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more
-    )
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(id_col).cast("long").isNotNull().alias("id_known"), *more,
+    )
     source = with_key(own)
     spans = repeated_spans(source, window, bucket_strings).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # Sorted and merged at every size, so that a small table tells how a large one goes.
-    joined = source.join(spans.hint("merge"), "row_key", "left").select("doc_id", "text", "spans", *more)
+    joined = source.join(spans.hint("merge"), "row_key", "left").select("doc_id", "text", "spans", "id_known", *more)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows, part = [], batch.slice(at, 500)
-                for doc_id, text, found in zip(*(c.to_pylist() for c in part.columns[:3]), strict=True):
+                for doc_id, text, found, known in zip(*(c.to_pylist() for c in part.columns[:4]), strict=True):
                     words = words_of(text)
                     n = len(words)
                     if found:
                         starts = np.array([x["start"] for x in found])
                         gone = covered(starts, np.array([x["windows"] for x in found]), window, n)
                         words = [words[i] for s, k in zip(*flag_runs(~gone), strict=True) for i in range(s, s + k)]
-                    rows.append((doc_id if doc_id != NULL_ID else None, n, n - len(words), b" ".join(words).decode()))
+                    rows.append((doc_id if known else None, n, n - len(words), b" ".join(words).decode()))
                 said = arrow_rows(schema, list(zip(*rows, strict=True)))
-                yield pa.RecordBatch.from_arrays([*said.columns, *part.columns[3:]], names=[*schema.names, *([carry] if carry else [])])
+                yield pa.RecordBatch.from_arrays([*said.columns, *part.columns[4:]], names=[*schema.names, *([carry] if carry else [])])
 
     kind = "doc_id long, n_words long, n_removed long, kept string"
     if carry:
