@@ -41,9 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_groups(rows, "pipeline_key", shingle=SHINGLE, percent=PERCENT, carry="pipeline_id")
     least = F.min(F.struct(F.col("pipeline_id").isNull(), "pipeline_id", "doc_id", "n_shingles"))
     stay = groups.groupBy("component_id").agg(least.alias("x")).select(F.col("x.doc_id").alias("pipeline_key"), "x.n_shingles")
-    # Rows that are alike in all columns have one key.
-    turn = F.row_number().over(Window.partitionBy("pipeline_key").orderBy("pipeline_key"))
-    left = rows.join(stay, "pipeline_key").withColumn("pipeline_turn", turn)
+    # Rows that are alike in all columns have one key, and one twin, another hash; rows of one key that differ all stay.
+    twin = F.xxhash64(F.lit("twin"), *docs.columns)
+    turn = F.row_number().over(Window.partitionBy("pipeline_key", "pipeline_twin").orderBy("pipeline_key"))
+    left = rows.join(stay, "pipeline_key").withColumn("pipeline_twin", twin).withColumn("pipeline_turn", turn)
     return left.where("pipeline_turn = 1 or n_shingles = 0").select(*docs.columns)
 
 
