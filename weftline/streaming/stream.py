@@ -86,6 +86,18 @@ def hold_until_result(rows: DataFrame, key: str, limit_ms: int = 2_400_000) -> D
     )
 
 
+def attached_late(comments: DataFrame, posts: DataFrame, post_id: str, comment_at: str, post_at: str, wait: str = "1 hour") -> DataFrame:
+    """Comments with the row of their post, which may come up to `wait` before or after them; those whose post has not come by then, with nulls.
+
+    A stream joined with a stream: state holds what both watermarks still allow, and an orphan comes out once none can follow. The id
+    has one name on both sides; null ids are orphans at once the watermark passes.
+    """
+    early = comments.withWatermark(comment_at, wait)
+    late = posts.withWatermark(post_at, wait).withColumnRenamed(post_id, "post_key")
+    near = F.expr(f"`{post_at}` BETWEEN `{comment_at}` - INTERVAL {wait} AND `{comment_at}` + INTERVAL {wait}")
+    return early.join(late, (F.col(post_id) == F.col("post_key")) & near, "left_outer").drop("post_key")
+
+
 def upsert_sink(path: str, key: str, version: str, parts: int = 64):
     """For foreachBatch: at-least-once delivery into a keyed store, made idempotent by key and version."""
 
