@@ -136,6 +136,18 @@ def page_anchors(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count("*").alias("anchors"), F.countDistinct("href").alias("links"))
 
 
+@query(r"""
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>((?:[^<]|</?(?:b|i|a|br|span|em|strong|img)(?:\s[^>]*)?/?>)*)', 1)) AS raw FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(raw, '\s+', ' ', 'g'), '<br/?>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') AS marked FROM p),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(marked, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS plain FROM t)
+SELECT page_id, count(*) AS paragraphs, max(length(trim(regexp_replace(regexp_replace(plain, ' *\n *', chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)))) AS longest FROM u GROUP BY page_id
+""")
+def page_paragraphs(spark, sf_dir):
+    """Paragraphs of the given pages, most of which are never closed, as a browser shows them."""
+    blocks = block_text(table(spark, sf_dir, "pages"), tags=("p",))
+    return blocks.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
 @query()
 def page_blocks(spark, sf_dir):
     blocks = block_text(table(spark, sf_dir, "pages"))

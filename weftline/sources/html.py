@@ -19,6 +19,8 @@ from weftline.functions.text import read_text
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Tags that end an open one of the first kind.
 CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+# A paragraph outside one of these is not ended by what stands inside.
+SCOPES = frozenset("button caption html marquee object table td template th".split())
 BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
 # Tags with a line break before and behind them.
 BREAKS = frozenset(
@@ -100,7 +102,15 @@ class _Nodes(HTMLParser):
             self._say("\n", row["outer"])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.open and (self.open[-1]["tag"] in CLOSES.get(tag, ()) or tag in BLOCKS and self.open[-1]["tag"] == "p"):
+        if tag in BLOCKS:  # ends a paragraph, whatever bold or linked text is open in it
+            for row in reversed(self.open):
+                if row["tag"] == "p":
+                    while self.open[-1] is not row:
+                        self._end()
+                    self._end()
+                if row["tag"] in SCOPES or row["tag"] == "p":
+                    break
+        while self.open and self.open[-1]["tag"] in CLOSES.get(tag, ()):
             self._end()
         known, up, number = {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None, len(self.rows)
         near = {k: up[k] if up else None for k in NEAREST}
