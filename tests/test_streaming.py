@@ -13,9 +13,9 @@ def parts(spark, tmp_path):
     return spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), rows
 
 
-def run(df, name, mode):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def run(df, name, mode, **trigger):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
+    assert q.awaitTermination(120)
     return df.sparkSession.table(name)
 
 
@@ -49,7 +49,7 @@ def test_hold_until_result(spark, tmp_path):
     rows = spark.createDataFrame([("a", "post", None), ("b", "post", None), ("a", "result", "r1"), ("c", "result", "r2")], "id string, kind string, payload string")
     rows.write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    got = run(stream.hold_until_result(source, "id"), "held", "append").collect()
+    got = run(stream.hold_until_result(source, "id"), "held", "append", once=True).collect()  # with timers `availableNow` never ends
     assert [tuple(r) for r in got] == [("a", "r1", "result")]
 
 
