@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_chrome_line, normalized_space, trimmed
@@ -205,3 +206,24 @@ def resolved_time(labels: Column, now: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3_600), F.floor(seconds % 3_600 / 60), F.floor(seconds % 60)
     return F.when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def iso_or_null(text: Column) -> Column:
+    """A time as ISO text in UTC with milliseconds; null where the text is none."""
+    at = F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone())
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def with_absolute_times(rows: DataFrame, labels: dict[str, str], now: Column) -> DataFrame:
+    """Adds to rows, for each new column the time of a label column, as `absolute_time` reads it.
+
+    Labels repeat, and reading one is dear: each distinct one is read once and joined back. Spark broadcasts the labels
+    where they are few and merges where they are not; null labels stay null.
+    """
+    every = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias("weftline_label")) for c in labels.values()])
+    known = every.where("weftline_label is not null").distinct()
+    read = known.select("weftline_label", absolute_time(F.col("weftline_label"), now).alias("weftline_at"))
+    for name, label in labels.items():
+        one = read.select(F.col("weftline_label").alias(f"weftline_{name}"), F.col("weftline_at").alias(name))
+        rows = rows.join(one, rows[label] == one[f"weftline_{name}"], "left").drop(f"weftline_{name}")
+    return rows

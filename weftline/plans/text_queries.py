@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import counts, text, times, urls
-from weftline.functions.ids import record_id
+from weftline.functions.ids import SEEDS, record_id
 from weftline.plans.registry import query, table
 from weftline.sources.html import anchors, block_text, node_table
 from weftline.sources.json_payload import json_content
@@ -83,8 +83,9 @@ def relative_time(spark, sf_dir):
 @query("SELECT o_orderkey, make_date(CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) ELSE 2024 END, month(o_orderdate), day(o_orderdate))::TIMESTAMP + INTERVAL 9 HOUR + INTERVAL 5 MINUTE AS month_label, CAST(o_orderdate AS DATE)::TIMESTAMP AS numeric_label, CAST(o_orderdate AS DATE)::TIMESTAMP AS iso_label FROM orders")
 def absolute_time(spark, sf_dir):
     now, day = F.lit(NOW).cast("timestamp"), F.col("o_orderdate")
-    labels = {"month_label": F.date_format(day, "MMMM d, yyyy 'at' 9:05 'AM'"), "numeric_label": F.date_format(day, "M/d/yyyy"), "iso_label": F.date_format(day, "yyyy-MM-dd")}
-    return table(spark, sf_dir, "orders").select("o_orderkey", *(times.absolute_time(v, now).alias(k) for k, v in labels.items()))
+    labels = {"month": F.date_format(day, "MMMM d, yyyy 'at' 9:05 'AM'"), "numeric": F.date_format(day, "M/d/yyyy"), "iso": F.date_format(day, "yyyy-MM-dd")}
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *(v.alias(k) for k, v in labels.items()))
+    return times.with_absolute_times(rows, {f"{k}_label": k for k in labels}, now).drop(*labels)
 
 
 @query("SELECT event_id, CASE WHEN ts <= TIMESTAMP '2024-01-15 06:00:00' THEN ts END AS at FROM events")
@@ -161,7 +162,23 @@ def json_props(spark, sf_dir):
     return parsed.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query()
+def _unit_hash_sql(units: str, seed: int) -> str:
+    """SQL of the seeded 32-bit hash over a list of UTF-16 units, in unsigned 64-bit arithmetic."""
+    low = lambda x: f"(({x}) & 4294967295)"
+    turn = lambda x, by: low(f"(({x}) << {by}) | (({x}) >> {32 - by})")
+    block = low(f"{turn(low('u * 3432918353::UBIGINT'), 15)} * 461845907::UBIGINT")
+    step = low(f"{turn('xor(h, u)', 13)} * 5::UBIGINT + 3864292196::UBIGINT")
+    walk = f"list_reduce(list_prepend({seed}::UBIGINT, list_transform({units}, lambda u: {block})), lambda h, u: {step})"
+    mixed = f"list_transform([xor({walk}, len({units})::UBIGINT)], lambda x: {low('xor(x, x >> 16) * 2246822507::UBIGINT')})"
+    mixed = f"list_transform({mixed}, lambda x: {low('xor(x, x >> 13) * 3266489909::UBIGINT')})"
+    return f"printf('%08x', list_transform({mixed}, lambda x: xor(x, x >> 16))[1])"
+
+
+@query(f"""
+WITH t AS (SELECT c_custkey, list_transform(string_split('feed:1:' || c_custkey, ''), lambda c: unicode(c)::UBIGINT) AS units FROM customer),
+h AS (SELECT c_custkey, {" || ".join(_unit_hash_sql("units", seed) for seed in SEEDS)} AS x FROM t)
+SELECT c_custkey, x[1:8] || '-' || x[9:12] || '-8' || x[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', x[17]) - 1) % 4 + 1, 1) || x[18:20] || '-' || x[21:32] AS id FROM h
+""")
 def capture_id(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", record_id(F.concat(F.lit("feed:1:"), F.col("c_custkey").cast("string"))).alias("id"))
 
