@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_rows, keyed, materialise
+from weftline.llm.word_merges import WordMerges, fits
 
 CAPACITY, END_ID = 4096, 1
 CLASSES, ROUNDS, RATE = 64, 150, 0.5
@@ -35,9 +36,9 @@ UNITS = 400_000  # remembered units a worker; more empty the store
 class UnitIds(dict):
     """Token ids of what stands between spaces, as little-endian 32-bit bytes. No token crosses a space.
 
-    A new unit is split into the tokenizer's words, whose ids are remembered as well. That is done for Latin
-    letters only, where lower case and classes of characters are beyond doubt; other units go to the
-    tokenizer whole.
+    A new unit is split into the tokenizer's words, whose ids are remembered as well; new words are merged many at a time
+    (`word_merges`). That is done for Latin letters only, where lower case, composed letters and classes of characters
+    are beyond doubt; other units go to the tokenizer whole, and so do words if its file asks for more than plain merges.
     """
 
     LAST = "\u024f"
@@ -50,12 +51,15 @@ class UnitIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        file = json.loads(self.tokenizer.to_str())
+        split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split).findall
         #: Marks that the pattern splits off the end of a word of letters; such units need no pattern.
         plain = self.split("abcÀéÿ") == ["abcÀéÿ"]
         self.marks = {c for c in ".,;:!?" if plain and self.split(f"abc{c}") == ["abc", c]}
         self.words: dict[str, bytes] = {}
+        bytewise = file["pre_tokenizer"]["pretokenizers"][-1]["type"] == "ByteLevel"
+        self.merged = WordMerges(file["model"]).encode if bytewise and fits(file["model"]) else self._whole
 
     def _whole(self, units: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
@@ -81,7 +85,7 @@ class UnitIds(dict):
             self.words.clear()
         words = self.words
         unknown = list({w for p in parts for w in p if w not in words})
-        words.update(zip(unknown, self._whole(unknown), strict=True))
+        words.update(zip(unknown, self.merged(unknown), strict=True))
         for unit, part in zip(latin, parts, strict=True):
             self[unit] = words[part[0]] if len(part) == 1 else b"".join([words[w] for w in part])
         self.update(zip(other, self._whole(other), strict=True))
