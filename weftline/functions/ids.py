@@ -19,14 +19,16 @@ def _turn(x: np.ndarray, by: int) -> np.ndarray:
 
 def unit_hashes(texts: list[str], seed: int) -> np.ndarray:
     """Murmur3 of 32 bits with one block for each UTF-16 unit and their number as length, for many texts at once."""
-    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
-    sizes = np.array(list(map(len, units)), np.int64)
+    data = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    units = np.frombuffer(b"".join(data), "<u2").astype(np.uint32)
+    sizes = np.array(list(map(len, data)), np.int64) // 2
+    starts = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     h = np.full(len(texts), seed, np.uint32)
     with np.errstate(over="ignore"):
         for at in range(int(sizes.max(initial=0))):
             live = order[: int(np.searchsorted(-sizes[order], -at, "left"))]
-            k = _turn(np.array([units[i][at] for i in live], np.uint32) * np.uint32(_1), 15) * np.uint32(_2)
+            k = _turn(units[starts[live] + at] * np.uint32(_1), 15) * np.uint32(_2)
             h[live] = _turn(h[live] ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
         h ^= sizes.astype(np.uint32)
         h = (h ^ (h >> np.uint32(16))) * np.uint32(_3)
