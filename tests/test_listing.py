@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import times
-from weftline.operators import order, status
+from weftline.operators import order, sink, status
 from weftline.sources.outlets import listed_outlets
 
 
@@ -137,3 +137,14 @@ def test_labels_read_once(spark):
     key = lambda r: [str(x) for x in r]
     assert sorted(once.collect(), key=key) == sorted(each.collect(), key=key)
     assert times.with_absolute_times(df.limit(0), {"a": "one"}, now).collect() == []
+
+
+def test_saved_outbox(spark):
+    schema = "post_id string, group_key string, turn int, named string"
+    waiting = spark.createDataFrame([("a", "g", 1, "w"), (None, "g", 2, "w"), ("z", "h", 3, "w")], schema)
+    saved = spark.createDataFrame([("a", "g", 1, "s"), ("b", "g", 3, "s3"), ("b", "g", 2, "s2"), ("a", "k", 1, "s"), (None, "g", 1, "s"), ("", "g", 1, "s"), ("c", None, 1, "s"), ("c", "", 1, "s")], schema)
+    values = lambda df: sorted(((r["post_id"] or "", r["group_key"] or "", r["named"]) for r in df.collect()))
+    assert values(sink.resumed(waiting, saved, "turn")) == [("", "g", "w"), ("a", "g", "w"), ("a", "k", "s"), ("b", "g", "s2"), ("z", "h", "w")]
+    assert values(sink.resumed(waiting.limit(0), saved.limit(0), "turn")) == []
+    groups = spark.createDataFrame([("g",), ("g",), ("k",), ("",), (None,)], "group_key string")
+    assert values(sink.parked(saved, waiting, groups)) == [("", "g", "w"), ("a", "g", "w"), ("c", "", "s"), ("c", "", "s")]

@@ -21,6 +21,26 @@ def held_back(undelivered: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("
     return undelivered.join(one, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def parked(saved: DataFrame, waiting: DataFrame, groups: DataFrame, group: str = "group_key") -> DataFrame:
+    """The saved outbox after the groups named (a column `group`) were saved anew: their rows are those that wait, maybe none.
+
+    Rows of other groups stay as they are; null and empty groups are never saved.
+    """
+    named = groups.where(F.col(group).cast("string") != "").select(group).distinct()
+    return saved.join(named, group, "left_anti").unionByName(waiting.join(named, group, "left_semi"), allowMissingColumns=True)
+
+
+def resumed(waiting: DataFrame, saved: DataFrame, turn: str, post: str = "post_id", group: str = "group_key") -> DataFrame:
+    """What waits after the saved outbox was read: all that waited, and of each saved post that did not wait in its group the first row.
+
+    `turn` orders saved rows, ties go by content. Saved rows without a post or group are left out; waiting rows stay, whatever they hold.
+    """
+    there = saved.where((F.col(post).cast("string") != "") & (F.col(group).cast("string") != ""))
+    fresh = there.join(waiting.select(post, group).distinct(), [post, group], "left_anti")
+    first = fresh.groupBy(F.col(group).alias("in_group"), F.col(post).alias("of_post")).agg(F.min_by(F.struct(*saved.columns), F.struct(turn, F.xxhash64(*saved.columns))).alias("row"))
+    return waiting.unionByName(first.select("row.*"), allowMissingColumns=True)
+
+
 def envelope(records: DataFrame) -> DataFrame:
     """Records as JSON lines."""
     return records.select(F.to_json(F.struct("*")).alias("value"))

@@ -156,6 +156,19 @@ def undelivered(spark, sf_dir):
     return sink.held_back(waiting, new, ("o_custkey", "o_orderpriority"))
 
 
+@query("""
+WITH w AS (SELECT o_custkey, o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus = 'P'),
+s AS (SELECT CASE WHEN o_orderkey % 10 > 0 THEN o_custkey END AS o_custkey, o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus = 'O'),
+f AS (SELECT * FROM s WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.o_custkey = s.o_custkey AND w.o_orderpriority = s.o_orderpriority))
+SELECT * FROM w UNION ALL SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1
+""")
+def resumed_outbox(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus")
+    waiting, saved = (orders.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("P", "O"))
+    saved = saved.withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 > 0, F.col("o_custkey")))
+    return sink.resumed(waiting, saved, "o_orderkey", "o_custkey", "o_orderpriority")
+
+
 @query("""
 SELECT o_orderkey, o_orderkey % 5 AS attempts, o_orderstatus = 'F' AND o_orderkey % 3 = 0 AND o_orderkey % 5 < 2 AS again FROM orders
 """)
