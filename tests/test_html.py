@@ -2,11 +2,12 @@ import random
 import re
 from urllib.parse import urljoin
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
-from weftline.sources.html import BLOCKS, BREAKS, VOID, block_text, joined
+from weftline.sources.html import BLOCKS, BREAKS, VOID, block_text, joined, page_of, parse_batches
 
 
 def grown(rng, depth=0):
@@ -80,3 +81,16 @@ def test_links_are_resolved(spark, base):
 def test_relative_links_are_cleaned(spark):
     cleaned = urls.clean_url(F.lit("/groups/7/posts/5/?ref=x&a=1#c"), F.lit("https://h.example/groups/7/"))
     assert spark.range(1).select(cleaned.alias("y")).first()["y"] == "https://h.example/groups/7/posts/5/?a=1"
+
+
+def test_few_pages_are_read_together():
+    pages = [f'<div id="{i}"><a href="/{i}">link {i}</a></div>' for i in range(500)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(502)), pa.array(["https://h.example/"] * 502), pa.array(pages)], names=["id", "url", "html"])
+    got = list(parse_batches(iter([batch]), held_chars=1_000))
+    assert len(got) > 15 and max(b.num_rows for b in got) < 40
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(502))
+    for row, html in zip(rows, pages, strict=True):
+        want = page_of(html, "https://h.example/")
+        assert row["said"] == want["said"]
+        assert [{**n, "attrs": dict(n["attrs"])} for n in row["nodes"]] == want["nodes"]
