@@ -185,3 +185,10 @@ def test_likes_and_pictures(spark):
     }
     got = read(spark, [(i, post(HEAD, block, x), "https://h.example/groups/7/") for i, (x, _, _) in cases.items()]).select("page_id", "metrics.likes", "thumbnail").collect()
     assert {r["page_id"]: (r["likes"], r["thumbnail"]) for r in got} == {i: (n, t) for i, (_, n, t) in cases.items()}
+
+
+def test_pages_of_one_file_are_read_by_all_cores(spark):
+    pages = pages_of(spark, [(i, '<div role="article"><h3><a href="/A">Ann</a></h3><a href="/groups/7/posts/5/">5h</a></div>', "https://h.example/groups/7/") for i in range(40)])
+    found = units(pages.coalesce(1))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(40))

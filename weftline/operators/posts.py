@@ -1,7 +1,7 @@
 """Posts of landed pages: which nodes are posts, and one record for each.
 
 A page stays one row until its posts are known, and a post is one row with the nodes and pieces of text inside it: all is read
-in place, nothing is shuffled, and pages whose ids repeat stay apart. Nodes lie in document order, so that what is inside a node is
+in place, nothing is shuffled but the pages themselves over all cores, and pages whose ids repeat stay apart. Nodes lie in document order, so that what is inside a node is
 a slice, and every fact is one pass over a slice.
 """
 
@@ -14,7 +14,7 @@ from weftline.functions import comments, text, times, urls
 from weftline.functions.counts import parsed_count
 from weftline.functions.ids import record_id
 from weftline.functions.times import bound
-from weftline.sources.html import NODE, parsed_pages, pieces, text_inside
+from weftline.sources.html import NODE, parsed_pages, pieces, spread, text_inside
 
 # Kinds of links.
 COMMENT_LINK = r"comment_id=|/comment/"
@@ -180,7 +180,7 @@ def post_nodes(nodes: Column, said: Column, feed: Column, commented: Column) ->
 def units(pages: DataFrame, host: str | None = None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """page_id, page_url, unit (the post's node), own (its nodes, itself first, as `noted` leaves them), said and base (its pieces of text and
     the number of the first), commented (which articles are comments). A page without posts has no row."""
-    read = parsed_pages(pages, id_col, html_col, url_col)
+    read = parsed_pages(spread(pages), id_col, html_col, url_col)
     there = F.lit(host) if host else F.nullif(F.regexp_extract("page_url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     steps = read.select("page_id", "page_url", noted(F.col("nodes"), there).alias("nodes"), "said")
     nodes, said = F.col("nodes"), F.col("said")
