@@ -188,3 +188,15 @@ def test_release_and_budget(spark):
     assert reason(True, False, True, 10, 2_400) == "comments:worker_timeout" and reason(True, False, True, 10, 60) is None
     goals = [one(spark, threads.budget_seconds, n, "int") for n in (5, 100, 400, 0)]
     assert goals == [8, 40, 90, 40]
+
+
+def test_needles_that_begin_alike_meet_only_what_holds_them(spark):
+    """Texts that differ in their last letters only: all tails begin alike, so that their beginnings match every unit."""
+    n = 400
+    rows = spark.range(n).select(F.col("id").alias("unit"), F.format_string("this text begins as all the others do and ends with %09d", "id").alias("text"))
+    bare = rows.select("unit", F.regexp_replace("text", " ", "").alias("bare"))
+    needles = bare.select(F.col("unit").alias("id"), F.right("bare", F.lit(40)).alias("needle")).union(spark.createDataFrame([(-1, "asalltheothersdoandends"), (-2, "nowherethereinanyofthem")], "id long, needle string"))
+    found = resolve._contained(bare, needles)
+    assert sorted((r["unit"], r["id"]) for r in found.collect()) == sorted([(i, i) for i in range(n)] + [(i, -1) for i in range(n)])
+    pairs = resolve._met(bare, needles)
+    assert pairs.count() <= 4 * n

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import folded_skeleton, skeleton
+from weftline.sources.html import spread
 
 
 def heads_of(stories: DataFrame, id_col: str, text_col: str, least: int = 20, size: int = 40) -> DataFrame:
@@ -55,16 +56,75 @@ def _by_minimiser(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.length(text) >= LEAST_HEAD).select(key, text).mapInArrow(run, f"{key} {kind}, minimiser long")
 
 
+CROWDED = 16  # needles with one minimiser, from which on more of their letters is compared
+
+
+HELD_LETTERS = 500_000  # of texts that are hashed together, if more than one
+
+
+def _stretch_hashes(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each stretch of `length` letters that lies in one of the texts; each once a text."""
+    sizes = np.array([len(x) for x in texts])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    if len(letters) < length:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        hashes = np.zeros(len(letters) - length + 1, np.uint64)
+        for k in range(length):
+            hashes = hashes * np.uint64(0x9FB21C651E98DF25) + letters[k : k + len(hashes)]
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(29)
+    home = np.repeat(np.arange(len(texts)), sizes)
+    inside = home[: len(hashes)] == home[length - 1 :]
+    found = np.unique(np.stack([home[: len(hashes)][inside], hashes.view(np.int64)[inside]]), axis=1)
+    return found[0], found[1]
+
+
+def _by_stretch(rows: DataFrame, key: str, text: str, lengths: list[int]) -> DataFrame:
+    """key, size, stretch: the hash of each stretch of a text that has one of the lengths, once."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ends = np.cumsum([len(x) for x in texts])
+            groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // HELD_LETTERS)) + 1)
+            for rows_of in groups:
+                for length in lengths if len(rows_of) else ():
+                    home, found = _stretch_hashes([texts[i] for i in rows_of], length)
+                    names = batch.column(0).take(pa.array(rows_of[home]))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(found), length, np.int32)), pa.array(found)], names=[key, "size", "stretch"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, size int, stretch long")
+
+
 def _contained(bare: DataFrame, needles: DataFrame) -> DataFrame:
-    """unit and the columns of needles (needle, ...): each needle of LEAST_HEAD letters or more that stands in a unit's bare text.
+    """unit and the columns of needles (needle, ...): each needle of LEAST_HEAD letters or more that stands in a unit's bare text."""
+    return bare.join(_met(bare, needles), "unit").where(F.contains("bare", "needle")).drop("bare").join(needles, "needle")
+
+
+def _met(bare: DataFrame, needles: DataFrame) -> DataFrame:
+    """unit, needle: all pairs of which the one may stand in the other, to be verified.
 
     No search of all pairs: where a needle stands, its first letters are a stretch of the unit, and both have the same
-    minimiser. A unit sends its minimisers only, about one for seven letters; pairs that meet are verified by `contains`.
+    minimiser. A unit sends its minimisers only, about one for seven letters. Where more than CROWDED needles have one minimiser, which
+    then tells little, units that have it too send the hashes of all stretches as long as those needles.
     """
     named = needles.withColumn("start", F.left("needle", F.lit(LEAST_HEAD)))
     keys = _by_minimiser(named.select("start").distinct(), "start", "start")
-    met = _by_minimiser(bare, "unit", "bare").join(keys, "minimiser").select("unit", "start").distinct().join(named, "start")
-    return bare.join(met, "unit").where(F.contains("bare", "needle")).drop("bare", "start")
+    known = named.select("start", "needle").distinct().join(keys, "start")
+    full = known.groupBy("minimiser").agg((F.count("*") > CROWDED).alias("crowded"))
+    known = known.join(full, "minimiser")
+    own = _by_minimiser(bare, "unit", "bare")
+    met = own.join(known.where("not crowded").drop("crowded", "start"), "minimiser").select("unit", "needle")
+    # A start has one minimiser: needles are crowded or not, as a whole.
+    many = known.where("crowded").select("needle").distinct()
+    lengths = sorted(r[0] for r in many.select(F.length("needle")).distinct().collect())  # at most as many as a head has letters
+    if lengths:
+        asked = bare.join(own.join(full.where("crowded"), "minimiser").select("unit").distinct(), "unit", "left_semi")
+        whole = _by_stretch(many, "needle", "needle", lengths).where(F.col("size") == F.length("needle"))
+        met = met.union(_by_stretch(asked, "unit", "bare", lengths).join(whole, ["size", "stretch"]).select("unit", "needle"))
+    return met.distinct()
 
 
 def contained_heads(units: DataFrame, id_col: str, text_col: str, heads: DataFrame, size: int = 40) -> DataFrame:
@@ -91,9 +151,9 @@ def matched_stories(units: DataFrame, id_col: str, text_col: str, author_col: st
     first = whole.groupBy("kind", F.left("bare", F.lit(size)).alias("head")).agg(F.min_by(F.struct("story", F.right("bare", F.lit(size)).alias("tail")), "ord").alias("x"))
     rank = F.when(F.col("kind") == "own", 0).otherwise(2)
     ends = F.explode(F.array(F.struct(rank.alias("rank"), F.col("head").alias("needle")), F.struct((rank + 1).alias("rank"), F.col("x.tail").alias("needle"))))
-    needles = first.select(F.col("x.story").alias("id"), ends.alias("y")).select("id", "y.rank", "y.needle")
-    bare = units.select(F.col(id_col).alias("unit"), folded_skeleton(F.col(text_col)).alias("bare"))
-    by_text = _contained(bare, needles).groupBy("unit", "rank").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    needles = first.select(F.col("x.story").alias("id"), ends.alias("y")).select("id", "y.rank", "y.needle").groupBy("rank", "needle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    bare = spread(units.select(F.col(id_col).alias("unit"), F.col(text_col).alias("said"))).select("unit", folded_skeleton(F.col("said")).alias("bare"))
+    by_text = _contained(bare, needles).groupBy("unit", "rank").agg(F.min("id").alias("id"), F.max("other").alias("other"))
     written = unique_by(stories.where("kind = 'author'"), "author", "story").select(F.col("author").alias("of"), F.col("story").alias("id"))
     asked = units.select(F.col(id_col).alias("unit"), F.col(author_col).cast("string").alias("of")).where("of is not null")
     by_author = asked.join(written, "of").select("unit", F.lit(4).alias("rank"), "id", F.col("id").alias("other"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.comments import FOREIGN_SEGMENTS
+from weftline.sources.html import spread
 
 # Keys whose values name a post, the strongest first.
 ID_KEYS = (
@@ -131,7 +132,7 @@ def walk_json(text: str) -> list[tuple]:
 
 def story_rows(payloads: DataFrame, column: str, order: str) -> DataFrame:
     """kind, story, text, author, ord of all stories in payloads; ord: (order of the payload, place in it)."""
-    each = payloads.select(F.col(order).alias("payload_order"), F.explode_outer(walk_json(column)).alias("x")).where("x is not null")
+    each = spread(payloads.select(order, column)).select(F.col(order).alias("payload_order"), F.explode_outer(walk_json(column)).alias("x")).where("x is not null")
     return each.select("x.kind", "x.story", "x.text", "x.author", F.struct(F.col("payload_order").alias("payload"), F.col("x.place").alias("place")).alias("ord"))
 
 
