@@ -80,3 +80,15 @@ def test_codes_approximate_residuals():
     home, codes = index.encode(rows)
     built = index.centroids[home] + np.concatenate([b[codes[:, j]] for j, b in enumerate(index.books)], 1)
     assert ((built - rows) ** 2).sum() < 0.2 * (rows**2).sum()
+
+
+def test_recall_where_queries_are_unlike_the_rows(spark):
+    """Rows in tight clusters find each other in one list; queries from elsewhere need many. Some rows are much longer than others."""
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(300, 24))
+    length = rng.lognormal(0, 0.5, size=300)
+    rows = [(i, (rng.normal(size=24) if i % 20 == 0 else length[i % 299] * (middles[i % 299] + 0.05 * rng.normal(size=24))).tolist()) for i in range(4_000)]
+    got = found(search(table(spark, rows), "vec_id", "embedding", F.expr(IS_QUERY), sample_rows=2_000))
+    want = exact(rows, 20)
+    assert set(got) == set(want)
+    assert sum(len({r["vec_id"] for r in got[q]} & set(want[q])) for q in want) >= 0.9 * 20 * len(want)

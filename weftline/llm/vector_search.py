@@ -2,13 +2,15 @@
 
 1. On the driver, coarse centroids and the codebooks of the residuals' parts are fitted by k-means on a bounded
    sample (at most about `sample_rows` vectors, drawn by hash). There are about as many lists as the root of the
-   number of rows, `lists` at least and one for eight vectors of the sample at most. On that sample also the number of lists to
-   probe is measured: the least at which the probed lists hold `target` of the true neighbours.
+   number of rows, `lists` at least and one for eight vectors of the sample at most.
 2. Every vector goes to the list of its nearest centroid, as one byte a part. Lists are dealt into blocks of
    about `block_rows` rows by hash, and each block meets a copy of its list's queries, so that a hot list spreads over tasks.
+   Up to `checked` queries are compared with every row, which gives their true neighbours: as many lists are probed as
+   hold `target` of these. Where the rows form no lists that tell them apart, that may be all lists.
 3. A query goes to its lists of largest inner product with the centroid, as many as measured and at least as
    many as hold k rows. In a block its distance tables score the codes; the best `rerank` of the block are scored again on
-   the original vectors in double precision. The best k of all blocks are its answer.
+   the original vectors in double precision. A row's score by its codes counts with SPREAD times the error that is usual at its distance from
+   what its codes stand for, so that rows that codes describe badly (long ones above all) are not passed over. The best k of all blocks are its answer.
 
 Edge cases: vectors that are null, zero, of another length than most or hold null or non-finite values take no
 part, neither as queries nor as candidates; a null id takes no part; repeated rows of one id count once (the least
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import arrow_rows, materialise
 
 SAMPLE_ROWS, LISTS, PARTS, CODES = 8_000, 64, 16, 256
-BLOCK_ROWS, RERANK, TARGET = 4_000, 200, 0.97
+BLOCK_ROWS, RERANK, TARGET, CHECKED, SPREAD = 4_000, 200, 0.97, 256, 2.0
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -58,7 +60,6 @@ class Index:
     centroids: np.ndarray
     books: list[np.ndarray]  # of each part of a residual
     cuts: np.ndarray  # where the parts start
-    probes: int
 
     def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of each row."""
@@ -67,26 +68,53 @@ class Index:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         return lists, np.stack(codes, 1).astype(np.uint8)
 
+    def usual_error(self, rows: np.ndarray, home: np.ndarray | int, codes: np.ndarray) -> np.ndarray:
+        """Of each row's inner product by its codes with a unit vector of any direction."""
+        built = self.centroids[home] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
+        return np.sqrt(((rows - built) ** 2).mean(1))
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """Inner products of each query's parts with their codebooks, (query, code)."""
         return [queries[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
 
 
-def fit(sample: np.ndarray, lists: int = LISTS, parts: int = PARTS, target: float = TARGET, k: int = 20) -> Index:
+def fit(sample: np.ndarray, lists: int = LISTS, parts: int = PARTS) -> Index:
     centroids = kmeans(sample, min(lists, max(1, len(sample) // 8)))
     rest = sample - centroids[nearest(sample, centroids)]
     cuts = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
-    books = [kmeans(rest[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)]
-    kinds = np.unique(sample, axis=0)  # copies find each other in any case and would hide what others need
-    asked = kinds[:: max(1, len(kinds) // 400)]
-    scores = asked @ sample.T
-    best = np.argsort(-scores, axis=1)[:, 1 : k + 1]
-    place = np.empty((len(asked), len(centroids)), int)
-    np.put_along_axis(place, np.argsort(-(asked @ centroids.T), axis=1), np.arange(len(centroids))[None, :], 1)
-    home = nearest(sample, centroids)
-    needed = np.sort(np.take_along_axis(place, home[best], 1).ravel())
-    probes = 1 + int(needed[min(len(needed) - 1, int(target * len(needed)))]) if len(needed) else len(centroids)
-    return Index(centroids, books, cuts, probes)
+    return Index(centroids, [kmeans(rest[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
+
+
+def measured_probes(index: Index, indexed: DataFrame, is_query, sample: np.ndarray, k: int, target: float, checked: int) -> int:
+    """The least number of lists, nearest first, that hold `target` of the true neighbours of some queries; copies are asked once, as
+    they find each other in any case and would hide what others need."""
+    asked = indexed.where(is_query).orderBy(F.xxhash64("vec_id", F.lit("check"))).limit(checked).select("vec_id", "v").collect()
+    asked = list({bytes(r["v"]): r["vec_id"] for r in asked}.items())
+    if not asked:
+        return 1
+    queries, own = np.stack([np.frombuffer(v) for v, _ in asked]), np.array([i for _, i in asked])
+    least = np.full(len(asked), -np.inf)  # no neighbour scores less: k rows besides the query itself reach it
+    if len(sample) > k:
+        least = -np.partition(-(queries @ sample.T), k, axis=1)[:, k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("q", pa.int32()), ("vec_id", pa.int64()), ("list", pa.int32()), ("score", pa.float64())])
+        for batch in batches:
+            ids, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            vectors = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(len(ids), -1)
+            scores = queries @ vectors.T
+            for q in range(len(own)):
+                hits = np.flatnonzero((scores[q] >= least[q] - 1e-9 * abs(least[q]) if np.isfinite(least[q]) else scores[q] > -np.inf) & (ids != own[q]))
+                hits = hits[np.lexsort((ids[hits], -scores[q, hits]))[:k]]
+                if len(hits):
+                    yield arrow_rows(schema, [np.full(len(hits), q, np.int32), ids[hits], home[hits], scores[q, hits]])
+
+    turn = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    hits = indexed.select("vec_id", "list", "v").mapInArrow(run, "q int, vec_id long, list int, score double")
+    best = hits.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("q", "list").collect()  # k rows a query
+    place = np.argsort(np.argsort(-(queries @ index.centroids.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort([place[r["q"], r["list"]] for r in best])
+    return 1 + int(needed[min(len(needed) - 1, int(target * len(needed)))]) if len(needed) else 1
 
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -103,7 +131,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def search(
     table: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20, sample_rows: int = SAMPLE_ROWS,
-    lists: int = LISTS, parts: int = PARTS, block_rows: int = BLOCK_ROWS, rerank: int = RERANK, target: float = TARGET,
+    lists: int = LISTS, parts: int = PARTS, block_rows: int = BLOCK_ROWS, rerank: int = RERANK, target: float = TARGET, checked: int = CHECKED,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: of the id column (named vec_id), which rows are queries."""
     rows = _vectors(table, id_col, vector_col)
@@ -118,7 +146,7 @@ def search(
     sample = _matrix(drawn.column("v").combine_chunks()) if drawn.num_rows else np.zeros((0, sizes[0]["n"]))
     if not len(sample):
         sample = np.zeros((1, sizes[0]["n"]))
-    index = fit(sample[np.lexsort(sample.T[:2])], max(lists, round(total**0.5)), parts, target, k)
+    index = fit(sample[np.lexsort(sample.T[:2])], max(lists, round(total**0.5)), parts)
     count = len(index.centroids)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +163,7 @@ def search(
     for r in indexed.groupBy("list").count().collect():  # one row a list
         held[r["list"]] = r["count"]
     blocks = np.maximum(1, -(-held // block_rows))
+    probes = measured_probes(index, indexed, is_query, sample, k, target, checked)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("q", pa.binary())])
@@ -143,7 +172,7 @@ def search(
             for query_id, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 order = np.argsort(-(index.centroids @ np.frombuffer(q)), kind="stable")
                 enough = int(np.searchsorted(np.cumsum(held[order]), k + 1)) + 1
-                out += [(query_id, int(i), q) for i in order[: max(index.probes, enough)] if held[i]]
+                out += [(query_id, int(i), q) for i in order[: max(probes, enough)] if held[i]]
             if out:
                 yield arrow_rows(schema, list(zip(*out, strict=True)))
 
@@ -169,6 +198,7 @@ def search(
                 vectors = np.frombuffer(b"".join(own.field("v").to_pylist())).reshape(len(ids), -1)[order]
                 codes = np.frombuffer(b"".join(own.field("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
                 query_ids = asking.field("query_id").to_numpy()
+                slack = SPREAD * index.usual_error(vectors, home, codes) if len(ids) > rerank else None
                 queries = np.frombuffer(b"".join(asking.field("q").to_pylist())).reshape(len(query_ids), -1)
                 for at in range(0, len(query_ids), 256):
                     some, names = queries[at : at + 256], query_ids[at : at + 256]
@@ -178,6 +208,7 @@ def search(
                         near += table[:, codes[:, part]]
                     # one more than asked for, as the query may be among them
                     if len(ids) > rerank:
+                        near += np.sqrt((some**2).sum(1))[:, None] * slack
                         least = -np.partition(-near, rerank - 1, axis=1)[:, rerank - 1]
                     for row in range(len(some)):
                         chosen = np.arange(len(ids))
