@@ -475,9 +475,14 @@ def _thumbnail(u: _Unit) -> Column:
 
 
 def largest_picture(pictures: Column, least: int = LEAST_PICTURE) -> Column:
-    """Of {url, area} the url of the largest, of equals the first; known areas below `least` don't count, unknown ones are 0."""
+    """The url of `largest_of`."""
+    return largest_of(pictures, least)["url"]
+
+
+def largest_of(pictures: Column, least: int = LEAST_PICTURE) -> Column:
+    """Of {url, area} the largest, of equals the first; known areas below `least` don't count, unknown ones are 0."""
     def largest(fine: Column) -> Column:
-        return F.aggregate(fine, _first(fine), lambda a, x: F.when(x["area"] > a["area"], x).otherwise(a))["url"]
+        return F.aggregate(fine, _first(fine), lambda a, x: F.when(x["area"] > a["area"], x).otherwise(a))
 
     return bound(F.filter(pictures, lambda x: (x["area"] == 0) | (x["area"] >= least)), largest)
 

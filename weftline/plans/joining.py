@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.text import head_key, skeleton
-from weftline.operators.posts import largest_picture
+from weftline.operators.posts import largest_of
 from weftline.operators import cutoff, merge, queue, resolve, sink, status, threads
 from weftline.plans.registry import query, table
 from weftline.sources import json_payload
@@ -104,11 +104,16 @@ def containment_antijoin(spark, sf_dir):
     return resolve.outermost(rows, "l_orderkey", "s", "e").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_brand, arg_max(p_partkey, CAST(p_size AS BIGINT) * 100000000 - p_partkey) AS p_partkey FROM part WHERE p_size >= 10 GROUP BY 1")
+@query("SELECT p_brand, arg_max(p_partkey, CAST(p_size AS BIGINT) * 100000000 - p_partkey) AS p_partkey, max(p_size) AS size FROM part WHERE p_size >= 10 GROUP BY 1")
 def largest_media(spark, sf_dir):
-    pictures = F.array_sort(F.collect_list(F.struct("p_partkey", (F.col("p_size") * 1_000).cast("double").alias("area"))))
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(pictures.alias("pictures"))
-    return rows.select("p_brand", largest_picture(F.transform("pictures", lambda x: F.struct(x["p_partkey"].alias("url"), x["area"].alias("area")))).alias("p_partkey"))
+    """The largest of each stretch of keys, then of these: no list holds a whole brand."""
+    def largest(rows, *by):
+        pictures = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("url"), (F.col("p_size") * 1_000).cast("double").alias("area"))))
+        found = rows.groupBy(*by).agg(pictures.alias("pictures")).select(*by, largest_of(F.col("pictures")).alias("x")).where("x is not null")
+        return found.select(*by, F.col("x.url").alias("p_partkey"), (F.col("x.area") / 1_000).cast("int").alias("p_size"))
+
+    rows = table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 10_000).alias("stretch"), "p_partkey", "p_size")
+    return largest(largest(rows, "p_brand", "stretch"), "p_brand").withColumnRenamed("p_size", "size")
 
 
 @query("""
