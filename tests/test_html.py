@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
-from weftline.sources.html import BLOCKS, BREAKS, VOID, block_text, joined, page_of, parse_batches
+from weftline.sources.html import BLOCKS, BREAKS, VOID, block_text, joined, node_table, page_of, parse_batches, titles
 
 
 def grown(rng, depth=0):
@@ -94,3 +94,10 @@ def test_few_pages_are_read_together():
         want = page_of(html, "https://h.example/")
         assert row["said"] == want["said"]
         assert [{**n, "attrs": dict(n["attrs"])} for n in row["nodes"]] == want["nodes"]
+
+
+def test_titles_resolve_the_references_asked_for(spark):
+    pages = spark.createDataFrame([(1, "<html><head><title> a &quot;b&quot;  &lt;c&amp</title></head><p>x")], "page_id long, html string")
+    nodes = node_table(pages)
+    assert titles(nodes).first()["title"] == 'a "b" <c&'
+    assert titles(nodes, {"&lt;": "<", "&gt;": ">", "&amp;": "&"}).first()["title"] == "a &quot;b&quot; <c&amp"

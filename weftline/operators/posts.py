@@ -96,7 +96,7 @@ def noted(nodes: Column, host: Column) -> Column:
         read = F.transform(places, lambda x: F.when(x.isNotNull(), F.transform(times.label_candidates(x), candidate)))
         kinds = {"to_post": POST_LINK, "to_comment": COMMENT_LINK, "to_time": TIME_LINK, "to_group": GROUP_LINK}
         flags = (F.coalesce(link & raw.rlike(pattern), F.lit(False)).alias(name) for name, pattern in kinds.items())
-        kept = (c for c in NODE.fieldNames() if c not in ("parent", "outer", "dialog", "own_text"))
+        kept = (c for c in NODE.fieldNames() if c not in ("parent", "outer", "dialog", "own_text", "raw"))
         return F.struct(
             *(n[c].alias(c) for c in kept), n["parent"].alias("parent"), n["outer"].alias("outer"), n["dialog"].alias("dialog"), F.trim(n["own_text"]).alias("own_text"),
             role.alias("role"), label.alias("label"), link.alias("link"), *flags, F.coalesce(link & is_profile(n["href"], host), F.lit(False)).alias("to_profile"),
