@@ -71,7 +71,7 @@ def without_author_lines(text: Column, names: Column) -> Column:
 
 def comment_body(blocks: Column, names: Column) -> Column:
     """A comment's blocks of text without names, furniture and repeats, joined; null if nothing is left."""
-    own = F.transform(blocks, normalized_space)
+    own = F.transform(F.array_distinct(blocks), normalized_space)  # equal blocks are read once
     kept = F.array_distinct(F.filter(own, lambda x: (x != "") & ~F.coalesce(F.array_contains(names, x), F.lit(False)) & ~is_chrome_line(x)))
     return F.nullif(without_author_lines(F.when(F.size(kept) > 0, normalized_space(F.array_join(kept, "\n"))), names), F.lit(""))
 
