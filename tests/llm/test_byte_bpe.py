@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
@@ -61,3 +62,23 @@ def test_tables(spark):
 def test_empty_table_and_null_ids(spark):
     assert decode_ids(encode_texts(frame(spark, []), PATH, P.PATTERN), PATH, P.PATTERN).collect() == []
     assert encode_texts(frame(spark, [(None, "a"), (None, "a")]), PATH, P.PATTERN).count() == 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.binary(min_size=1, max_size=40), st.text("aehinorst' ", min_size=1, max_size=64).map(str.encode)), min_size=1, max_size=8))
+def test_many_pre_tokens_in_lockstep(pieces):
+    got = [np.frombuffer(ids, np.uint32).tolist() for ids in OWN.lockstep.encode(pieces)]
+    assert got == [[OWN.transducer.ranks[t] for t in OWN.transducer.merge(piece)] for piece in pieces]
+
+
+def test_new_short_words_take_no_transitions_of_their_own(monkeypatch):
+    import weftline.llm.byte_bpe as module
+
+    monkeypatch.setattr(module, "UNITS", 300)
+    monkeypatch.setattr(module, "PIECES", 200)
+    own = module.Encoder(module.read_ranks(PATH), P.PATTERN)
+    made = [f"{a}{b}{c}th" for a in ("qan", "onr", "ble", "ti", "É") for b in ("zhe", "in", "ere", "日本") for c in ("wof", "ent", "x", "-in")]
+    texts = [" ".join(made), "\n".join(made), "  ".join(made), " ".join(made) + " ", "", " ", " ".join(made[::3]) + " a\n b\t c"]
+    for batch in (texts, texts[:2], texts[::-1]):
+        assert [np.frombuffer(ids, np.uint32).tolist() for ids in own.packed(batch)] == LIBRARY.encode_ordinary_batch(batch)
+    assert len(own.transducer.states) == 1

@@ -4,6 +4,8 @@ The transducer reads a pre-token byte by byte. A state is the last token it has
 since. Of each prefix of those bytes the last token of its encoding is unique: the suffix that is a token and
 stands the merges next to the token before it. Positions where a longer token may still begin stay open;
 tokens on which all open positions agree are emitted. Transitions are built when first taken and then kept.
+The short pre-tokens that a batch of texts brings anew go through it in lockstep, byte by byte: what a transition
+works out, the last token of one more prefix, is worked out for all of them at once.
 
 Edge cases: a null text is empty and has no tokens; very long texts are encoded whole; equal texts have equal
 ids; an empty table gives an empty table; extra columns are ignored. Ids that decode to broken UTF-8 give
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_rows, keyed
 
+LOCKSTEP_BYTES = 64  # longer pre-tokens go through the transducer one by one
 STATES = 100_000  # kept transducer states and pairs of tokens; more empty the store, results stay the same
 PIECES, UNITS = 400_000, 500_000  # remembered pre-tokens, and stretches between spaces; likewise
 
@@ -176,6 +180,138 @@ class MergeTransducer:
         return out + self._tokens(state.ends, len(state.ends))
 
 
+class Lockstep:
+    """The transducer run on many pre-tokens at once, on numpy arrays; tokens are numbered by rank here.
+
+    Of each prefix of each pre-token it finds the last token, prefixes of one length together: the longest token
+    that ends there and stands next to the last token of what is before it.
+    """
+
+    def __init__(self, transducer: MergeTransducer):
+        tokens = sorted(transducer.ranks, key=transducer.ranks.__getitem__)
+        number = {t: i for i, t in enumerate(tokens)}
+        self.ids = np.array([transducer.ranks[t] for t in tokens], np.uint32)
+        self.sizes = np.array(list(map(len, tokens)), np.int32)
+        #: The two parts of each token's last merge; -1: it is a byte. Whether the merges make it.
+        parts = [transducer._parts(t) for t in tokens]
+        self.left = np.array([number[x[0]] if len(x) == 2 else -1 for x in parts], np.int64)
+        self.right = np.array([number[x[1]] if len(x) == 2 else -1 for x in parts], np.int64)
+        self.made = np.array([bool(x) for x in parts])
+        #: A tree of the tokens' bytes: a row for each node that goes on, 0 where there is no such byte.
+        nodes = {b"": 0} | {x: i for i, x in enumerate(transducer.starts, 1)}
+        self.rows = len(nodes)
+        for token in tokens:
+            nodes.setdefault(token, len(nodes))
+        self.next = np.zeros((self.rows, 256), np.int32)
+        names = list(nodes)[1:]
+        self.next[[nodes[x[:-1]] for x in names], [x[-1] for x in names]] = list(map(nodes.__getitem__, names))
+        self.token = np.full(len(nodes), -1, np.int32)
+        self.token[[nodes[t] for t in tokens]] = np.arange(len(tokens))
+        #: Pairs of tokens that are a token together, and its number, in a table with open addresses.
+        joined = [(number[t[:k]] * len(tokens) + number[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in number and t[k:] in number]
+        self.shift = np.uint64(64 - max(4, len(joined).bit_length() + 1))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.zeros(len(self.keys), np.int32)
+        keys, values = np.array(joined, np.int64).reshape(-1, 2).T
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) % len(self.keys)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of the token that both are together, or one above all."""
+        keys = left * len(self.ids) + right
+        slots = self._slots(keys)
+        met = self.keys[slots]
+        out = np.where(met == keys, self.values[slots], len(self.ids))
+        open_ = np.flatnonzero((met != keys) & (met >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) % len(self.keys)
+            met = self.keys[slots[open_]]
+            hit = met == keys[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (met >= 0)]
+        return out
+
+    def _stand(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """`MergeTransducer._stands` of many pairs; before: -1 at the start."""
+        apart = self.made[token]
+        at = np.flatnonzero(apart & (before >= 0))
+        left, right = before[at], token[at]
+        left_until = right_until = np.full(len(at), len(self.ids))
+        while len(at):
+            rank = self._joined(left, right)
+            joins = (rank < left_until) & (rank <= right_until) & (rank < len(self.ids))
+            apart[at[joins]] = False
+            a, b = self.left[left] >= 0, self.left[right] >= 0
+            go = np.flatnonzero(~joins & (a | b))
+            at, left, right, left_until, right_until, a, b = (x[go] for x in (at, left, right, left_until, right_until, a, b))
+            back = a & (~b | (left > right))  # the part made last is taken apart first
+            left_until, right_until = np.where(back, left, left_until), np.where(back, right_until, right)
+            left, right = np.where(back, self.right[left], left), np.where(back, right, self.left[right])
+        return apart
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each, none empty, as unsigned 32-bit numbers of this machine's byte order."""
+        pieces_at = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))  # those of some length or more come first
+        data = np.frombuffer(b"".join([pieces[i] for i in pieces_at]), np.uint8)
+        sizes = np.array([len(pieces[i]) for i in pieces_at], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        #: By length - 1: the token of that length that begins at each byte, or -1.
+        tokens, limit, at, node = [], np.repeat(ends, sizes), np.arange(len(data)), self.next[0, data]
+        while len(at):
+            here = np.full(len(data), -1, np.int32)
+            here[at] = self.token[node]
+            tokens.append(here)
+            size = len(tokens)
+            on = (node < self.rows) & (at + size < limit[at])
+            at, node = at[on], node[on]
+            node = self.next[node, data[at + size]]
+            at, node = at[node > 0], node[node > 0]
+        last = np.full(len(data) + 1, -1, np.int64)  # by the end of a prefix
+        for size in range(1, int(sizes[0]) + 1):
+            open_ = starts[: int(np.searchsorted(-sizes, -size, "right"))] + size
+            for length in range(min(size, len(tokens)), 0, -1):
+                token = tokens[length - 1][open_ - length]
+                some = np.flatnonzero(token >= 0)
+                if not len(some):
+                    continue
+                token, to = token[some].astype(np.int64), open_[some]
+                good = self._stand(last[to - length] if length < size else np.full(len(to), -1), token)
+                last[to[good]] = token[good]
+                if good.all() and len(some) == len(open_):
+                    break
+                stay = np.ones(len(open_), bool)
+                stay[some[good]] = False
+                open_ = open_[stay]
+        path, which, at = [], np.arange(len(pieces)), ends
+        while len(which):
+            token = last[at]
+            path.append((which, token))
+            at = at - self.sizes[token]
+            on = at > starts[which]
+            which, at = which[on], at[on]
+        counts = np.zeros(len(pieces), np.int64)
+        for which, _ in path:
+            counts[which] += 1
+        stops = np.cumsum(counts)
+        ids = np.empty(int(stops[-1]), np.uint32)
+        for back, (which, token) in enumerate(path, 1):
+            ids[stops[which] - back] = self.ids[token]
+        packed, out = ids.tobytes(), [b""] * len(pieces)
+        for i, a, b in zip(pieces_at, (4 * (stops - counts)).tolist(), (4 * stops).tolist(), strict=True):
+            out[i] = packed[a:b]
+        return out
+
+
 class Utf8Decoder:
     """Decodes tokens as they come. A state is the begun bytes of a character; moves by token are kept."""
 
@@ -242,9 +378,10 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.transducer = MergeTransducer(ranks)
+        self.lockstep = Lockstep(self.transducer) if all(x in ranks for x in _BYTES) else None
         self.decoder = Utf8Decoder({i: t for t, i in ranks.items()})
         #: Ids as packed 32-bit numbers: small, and no objects that Python's collector walks.
-        self.units: dict[str, bytes | None] = {}
+        self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -259,25 +396,59 @@ class Encoder:
     def _all(self, text: str) -> bytes:
         return b"".join([self._piece(piece) for piece in self.find(text)])
 
-    def packed(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit numbers of this machine's byte order."""
-        first, *rest = text.split(" ")
-        out = [self._all(first)]
-        units = self.units
-        for unit in rest:
-            if (ids := units.get(unit, 0)) == 0:
-                ids = None if not unit or unit[0].isspace() else self._all(" " + unit)
-                if len(unit) < 64:
-                    if len(units) >= UNITS:
-                        units.clear()
-                    units[unit] = ids
-            if ids is None:  # a run of white space: no cut there
-                return self._all(text)
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, split: list[list[str]], texts: list[str]) -> None:
+        """Remembers the units and pre-tokens that these texts bring anew."""
+        units, anew, whole = self.units, {}, []
+        for text, (first, *rest) in zip(texts, split, strict=True):
+            new = [u for u in rest if u not in units]
+            if any(not u or u[0].isspace() for u in new):
+                whole.append(text)
+            else:
+                anew.update(dict.fromkeys([u for u in new if len(u) < 64]))
+                whole.append(first)
+        # Each unit's first pre-token begins with its space and no other one does.
+        found = self.find("".join([" " + u for u in anew]))
+        pieces = dict.fromkeys(found)
+        for text in whole:
+            pieces.update(dict.fromkeys(self.find(text)))
+        known = self.pieces
+        new = [p for p in pieces if p not in known and len(p) < 64]
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = [p for p in pieces if len(p) < 64]
+        coded, ranks, ids = list(map(str.encode, new)), self.transducer.ranks, {}
+        for p, data in zip(new, coded, strict=True):
+            if (rank := ranks.get(data)) is not None:
+                ids[p] = rank.to_bytes(4, sys.byteorder)
+        many = [(p, data) for p, data in zip(new, coded, strict=True) if p not in ids and len(data) <= LOCKSTEP_BYTES]
+        if many and self.lockstep:
+            ids.update(zip([p for p, _ in many], self.lockstep.encode([data for _, data in many]), strict=True))
+        known.update(ids)
+        if len(units) + len(anew) > UNITS:
+            units.clear()
+        at, joined = [i for i, p in enumerate(found) if p[0] == " "], list(map(self._piece, found))
+        for unit, a, b in zip(anew, at, [*at[1:], len(found)][: len(at)], strict=True):
+            units[unit] = joined[a] if b == a + 1 else b"".join(joined[a:b])
+
+    def _packed(self, words: list[str], text: str) -> bytes:
+        rest = words[1:]
+        out = list(map(self.units.get, rest))
+        if None in out:
+            for i, unit in enumerate(rest):
+                if out[i] is None:
+                    if not unit or unit[0].isspace():  # a run of white space: no cut there
+                        return self._all(text)
+                    out[i] = self._all(" " + unit)
+        return self._all(words[0]) + b"".join(out)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit numbers of this machine's byte order."""
+        split = [text.split(" ") for text in texts]
+        self._learn(split, texts)
+        return list(map(self._packed, split, texts))
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.packed(text)).tolist()
+        return array("I", self.packed([text])[0]).tolist()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -301,7 +472,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                coded = [np.array(own.encode(t), "<u4").tobytes() for t in part.column(1).to_pylist()]
+                coded = [np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in own.packed(part.column(1).to_pylist())]
                 yield arrow_rows(schema, [part.column(0), coded])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
@@ -334,7 +505,7 @@ def transcode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     part = batch.slice(at, SLICE)
-                    coded = [np.frombuffer(own.packed(t), np.int32) for t in part.column(1).to_pylist()]
+                    coded = [np.frombuffer(x, np.int32) for x in own.packed(part.column(1).to_pylist())]
                     offsets = np.cumsum([0, *map(len, coded)]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
                     texts = pa.array([decode(x.tolist()) for x in coded], pa.string())
