@@ -47,3 +47,32 @@ def test_repeated_rows_repeat_each_other(spark):
 
 def test_empty_table(spark):
     assert remove_byte_repeats(frame(spark, [])).collect() == []
+
+
+def prose(random, size):
+    return "".join(random.choice(list("abcdefgh "), size))
+
+
+def test_strings_that_share_a_phrase_but_no_window_do_not_travel(spark, monkeypatch):
+    import weftline.llm.suffix_dedup as module
+
+    random, travelled = np.random.default_rng(3), []
+    monkeypatch.setattr(module, "_shard_repeats", lambda strings, *rest, f=module._shard_repeats: travelled.append(strings.count()) or f(strings, *rest))
+    phrase = prose(random, 200)
+    rows = [(i, prose(random, 600) + phrase + prose(random, 600)) for i in range(40)]
+    assert {r["n_removed"] for r in remove_byte_repeats(frame(spark, rows)).collect()} == {0}
+    assert travelled == [0]
+
+
+@pytest.mark.parametrize("size", [399, 400, 401, 480])
+def test_passages_of_a_window_or_more_at_any_place(spark, size):
+    """The length is counted in bytes: a passage of many words that is shorter than a window stays."""
+    random = np.random.default_rng(size)
+    passage = " ".join("".join(random.choice(list("abcdefgh"), 4)) for _ in range(100))[:size]
+    ends = [chr(48 + i) for i in range(30)]  # other bytes before and after each passage
+    rows = [(i, prose(random, i * 37 % 500) + e + passage + e + prose(random, i * 91 % 700)) for i, e in enumerate(ends)]
+    rows += [(100 + i, prose(random, 900)) for i in range(10)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in remove_byte_repeats(frame(spark, rows).repartition(3)).collect())
+    assert len(passage.split()) > 50
+    assert got == sorted((i, n) for i, _, n, *_ in brute.kept_bytes(rows, 400))
+    assert all((n > 0) == (i < 100 and size >= 400) for i, n in got)
