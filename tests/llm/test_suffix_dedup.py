@@ -76,3 +76,19 @@ def test_passages_of_a_window_or_more_at_any_place(spark, size):
     assert len(passage.split()) > 50
     assert got == sorted((i, n) for i, _, n, *_ in brute.kept_bytes(rows, 400))
     assert all((n > 0) == (i < 100 and size >= 400) for i, n in got)
+
+
+def test_a_line_that_goes_on_repeating_makes_few_rows(spark, monkeypatch):
+    """Its minimiser stands in every line; before, each of the 200 lines of each string had a row with a window of bytes."""
+    import weftline.llm.suffix_dedup as module
+
+    random, made = np.random.default_rng(8), {}
+    monkeypatch.setattr(module, "materialise", lambda df, name, f=module.materialise: made.setdefault(name, f(df, name)))
+    monkeypatch.setattr(module, "free", lambda *tables: None)
+    line = prose(random, 17) + "."
+    rows = [(i, prose(random, 100 + i) + line * 200 + prose(random, 150)) for i in range(20)]
+    rows += [(100 + i, prose(random, 90) + line * (3 + i) + prose(random, 300)) for i in range(8)]  # less and more than a window
+    got = remove_byte_repeats(frame(spark, rows).repartition(3), window=60, bucket_strings=3).collect()
+    want = {(i, n, gone, spans, brute.sha(kept)) for i, n, gone, spans, kept in brute.kept_bytes(rows, 60)}
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), brute.sha(bytes(r["kept"]))) for r in got} == want
+    assert made["packed"].count() <= 12 * len(rows)
