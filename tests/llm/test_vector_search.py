@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm.vector_search import Index, fit, search
+from weftline.llm.vector_search import Index, best_of_block, fit, search, shelves
 
 IS_QUERY = "vec_id % 20 = 0"
 
@@ -92,3 +92,54 @@ def test_recall_where_queries_are_unlike_the_rows(spark):
     want = exact(rows, 20)
     assert set(got) == set(want)
     assert sum(len({r["vec_id"] for r in got[q]} & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_short_lists_are_not_met_one_by_one():
+    """A query without near lists probes most of them; before, it met each alone, so that meetings grew as the rows to the power 1.5."""
+    rng = np.random.default_rng(7)
+    for lists in (200, 400):
+        held, centroids = rng.integers(150, 250, size=lists), rng.normal(size=(lists, 16))
+        held[3], held[5] = 9_000, 0
+        shelf, blocks = shelves(held, centroids, 4_000)
+        sizes = np.bincount(shelf, held)
+        assert len(blocks) == len(sizes)
+        assert blocks.sum() <= 2 * held.sum() / 4_000 + 2
+        assert all(sizes[s] <= 4_000 or (shelf == s).sum() - (shelf[5] == s) == 1 for s in range(len(sizes)))
+        assert (sizes / blocks).max() <= 4_000
+    assert shelves(np.array([0]), np.zeros((1, 2)), 5)[1].tolist() == [1]
+
+
+def test_ties_beyond_those_scored_again_go_to_the_smaller_ids():
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=8)
+    vectors = np.concatenate([np.repeat(one[None], 30, 0), 0.1 * rng.normal(size=(20, 8))])
+    ids, home = rng.permutation(50), np.repeat([4, 9], [30, 20])
+    probed = np.array([[True, True], [True, False], [False, True], [False, False]])
+    names = np.array([ids[2], ids[40], ids[41], 99])
+    queries = np.stack([one, one, one, one])
+    got = best_of_block(vectors, vectors, ids, home, queries, names, probed, 5, 10)
+    exact = np.einsum("qd,rd->qr", queries, vectors)
+    for q in range(4):
+        want = [i for i in np.lexsort((ids, -exact[q])) if ids[i] != names[q] and probed[q, int(home[i] == 9)]][:5]
+        assert got[1][got[0] == names[q]].tolist() == ids[want].tolist()
+
+
+def test_recall_of_rows_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3_000, 32)))]
+    got = found(search(table(spark, rows), "vec_id", "embedding", F.expr(IS_QUERY), sample_rows=1_000, block_rows=700, rerank=60))
+    want = exact(rows, 20)
+    assert set(got) == set(want)
+    assert sum(len({r["vec_id"] for r in got[q]} & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_many_near_copies_whose_codes_are_alike():
+    """More rows than are scored again may be among the nearest: all of them are looked at."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=8) + 0.01 * rng.normal(size=(300, 8))
+    built, ids = np.repeat(vectors.mean(0)[None], 300, 0), np.arange(300)
+    names = np.array([0, 20])
+    got = best_of_block(vectors, built, ids, np.zeros(300, int), vectors[names], names, np.ones((2, 1), bool), 20, 40)
+    for q in names:
+        exact = np.einsum("rd,d->r", vectors, vectors[q])
+        assert len(set(got[1][got[0] == q]) & set([i for i in np.argsort(-exact) if i != q][:20])) >= 18
