@@ -200,3 +200,19 @@ def test_needles_that_begin_alike_meet_only_what_holds_them(spark):
     assert sorted((r["unit"], r["id"]) for r in found.collect()) == sorted([(i, i) for i in range(n)] + [(i, -1) for i in range(n)])
     pairs = resolve._met(bare, needles)
     assert pairs.count() <= 4 * n
+
+
+def test_stories_and_units_do_not_go_through_the_driver(spark):
+    """Both are as many as the input has rows; packed they seem small enough to be broadcast."""
+    n, most = 400, "spark.sql.maxBroadcastTableSize"
+    text = F.format_string("story %09d begins unlike any other and all of them end under number %09d", "id", "id")
+    rows = spark.range(n).select(F.col("id").alias("unit"), text.alias("said"), (F.col("id") + n).alias("author"))
+    own = rows.select(F.lit("own").alias("kind"), F.col("unit").cast("string").alias("story"), F.col("said").alias("text"), F.lit(None).cast("string").alias("author"), F.struct(F.col("unit").alias("payload"), F.lit(0).alias("place")).alias("ord"))
+    silent = own.select(F.lit("author").alias("kind"), F.concat(F.lit("9"), "story").alias("story"), F.lit(None).cast("string").alias("text"), (F.col("ord.payload") + 2 * n).cast("string").alias("author"), "ord")
+    units = rows.union(rows.select(F.col("unit") + n, F.lit("hi"), F.col("author") + n))
+    spark.conf.set(most, "4k")
+    try:
+        found = resolve.matched_stories(units, "unit", "said", "author", own.union(silent)).collect()
+    finally:
+        spark.conf.unset(most)
+    assert sorted(map(tuple, found)) == [(i, str(i), "text") for i in range(n)] + [(n + i, f"9{i}", "author") for i in range(n)]

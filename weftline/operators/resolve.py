@@ -100,7 +100,8 @@ def _by_stretch(rows: DataFrame, key: str, text: str, lengths: list[int]) -> Dat
 
 def _contained(bare: DataFrame, needles: DataFrame) -> DataFrame:
     """unit and the columns of needles (needle, ...): each needle of LEAST_HEAD letters or more that stands in a unit's bare text."""
-    return bare.join(_met(bare, needles), "unit").where(F.contains("bare", "needle")).drop("bare").join(needles, "needle")
+    pairs = bare.join(_met(bare, needles).hint("merge"), "unit").where(F.contains("bare", "needle")).drop("bare")
+    return pairs.join(needles.hint("merge"), "needle")
 
 
 def _met(bare: DataFrame, needles: DataFrame) -> DataFrame:
@@ -109,21 +110,22 @@ def _met(bare: DataFrame, needles: DataFrame) -> DataFrame:
     No search of all pairs: where a needle stands, its first letters are a stretch of the unit, and both have the same
     minimiser. A unit sends its minimisers only, about one for seven letters. Where more than CROWDED needles have one minimiser, which
     then tells little, units that have it too send the hashes of all stretches as long as those needles.
+    Needles and units may be as many as the input has rows: a side that seems small where it is packed is not broadcast through the driver.
     """
     named = needles.withColumn("start", F.left("needle", F.lit(LEAST_HEAD)))
     keys = _by_minimiser(named.select("start").distinct(), "start", "start")
-    known = named.select("start", "needle").distinct().join(keys, "start")
+    known = named.select("start", "needle").distinct().join(keys.hint("merge"), "start")
     full = known.groupBy("minimiser").agg((F.count("*") > CROWDED).alias("crowded"))
-    known = known.join(full, "minimiser")
+    known = known.join(full.hint("merge"), "minimiser")
     own = _by_minimiser(bare, "unit", "bare")
-    met = own.join(known.where("not crowded").drop("crowded", "start"), "minimiser").select("unit", "needle")
+    met = own.join(known.where("not crowded").drop("crowded", "start").hint("merge"), "minimiser").select("unit", "needle")
     # A start has one minimiser: needles are crowded or not, as a whole.
     many = known.where("crowded").select("needle").distinct()
     lengths = sorted(r[0] for r in many.select(F.length("needle")).distinct().collect())  # at most as many as a head has letters
     if lengths:
-        asked = bare.join(own.join(full.where("crowded"), "minimiser").select("unit").distinct(), "unit", "left_semi")
+        asked = bare.join(own.join(full.where("crowded").hint("merge"), "minimiser").select("unit").distinct().hint("merge"), "unit", "left_semi")
         whole = _by_stretch(many, "needle", "needle", lengths).where(F.col("size") == F.length("needle"))
-        met = met.union(_by_stretch(asked, "unit", "bare", lengths).join(whole, ["size", "stretch"]).select("unit", "needle"))
+        met = met.union(_by_stretch(asked, "unit", "bare", lengths).join(whole.hint("merge"), ["size", "stretch"]).select("unit", "needle"))
     return met.distinct()
 
 
@@ -156,7 +158,7 @@ def matched_stories(units: DataFrame, id_col: str, text_col: str, author_col: st
     by_text = _contained(bare, needles).groupBy("unit", "rank").agg(F.min("id").alias("id"), F.max("other").alias("other"))
     written = unique_by(stories.where("kind = 'author'"), "author", "story").select(F.col("author").alias("of"), F.col("story").alias("id"))
     asked = units.select(F.col(id_col).alias("unit"), F.col(author_col).cast("string").alias("of")).where("of is not null")
-    by_author = asked.join(written, "of").select("unit", F.lit(4).alias("rank"), "id", F.col("id").alias("other"))
+    by_author = asked.join(written.hint("merge"), "of").select("unit", F.lit(4).alias("rank"), "id", F.col("id").alias("other"))
     best = by_text.unionByName(by_author).groupBy("unit").agg(F.min_by(F.struct("id", "other"), "rank").alias("x"), F.min("rank").alias("rank"))
     return best.where("x.id = x.other").select("unit", "x.id", F.get(F.array(*map(F.lit, SOURCES)), "rank").alias("source"))
 
